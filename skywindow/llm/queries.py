@@ -148,11 +148,11 @@ l AS (
 g AS (SELECT source, source_size, slope, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM l),
 p AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, g.slope, CAST(floor(g.target) AS BIGINT) AS goal,
-    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-n AS (SELECT *, least(size, greatest(0, goal - at)) AS first, least(size, greatest(0, goal - source_size - at)) AS second FROM p)
-SELECT doc_id, size, source_size, target, CAST(first + second AS BIGINT) AS taken,
-  CASE WHEN first > 0 THEN round(2 * (at / target) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (at / target))), 6) END AS first_position
+n AS (SELECT *, least(size, greatest(0, goal - ahead)) AS once, least(size, greatest(0, goal - source_size - ahead)) AS twice FROM p)
+SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken,
+  CASE WHEN once > 0 THEN round(2 * (ahead / target) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (ahead / target))), 6) END AS first_position
 FROM n
 """
 
