@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy runs of rows with about ``limit`` bytes of text each, which bounds the memory of what is derived."""
-    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     group = (np.cumsum(size) - size) // limit
     edges = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *edges], [*edges, len(size)], strict=True):

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         tags = np.asarray(batch.column(TAG))
         texts = [x or "" for x in batch.column("text").to_pylist()]
         # postings name a document by its distance from the block's first tag; tags run on within a task
-        n = int(np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0)).sum())
+        n = int(np.asarray(pc.binary_length(batch.column("text")).fill_null(0)).sum())
         if held and (size + n > BLOCK_BYTES or int(tags[-1]) - int(held[0][0][0]) > 0xFFFF):
             yield out()
             held, size, rows = [], 0, 0
