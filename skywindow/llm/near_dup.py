@@ -24,8 +24,9 @@ SHINGLE, SIMILAR = 5, 0.8
 #: 20 bands of 6 registers: a pair of similarity 0.8 is a candidate with probability 0.998, one of 0.5 with 0.27.
 BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
-#: Buckets up to this size are compared whole; larger ones by about so many leaders a round, until all are settled.
-SMALL, LEADERS = 12, 3
+#: Buckets up to this size are compared whole; larger ones by about so many leaders. Both grow by GROWTH each round, until
+#: all members are settled.
+SMALL, LEADERS, GROWTH = 12, 3, 6
 
 
 def _exponential(key: np.ndarray, seed: int) -> np.ndarray:
@@ -150,10 +151,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = member.where("bands is not null").select(F.explode("bands").alias("key"), F.col(TAG).alias("a"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_rows = stash(keyed.join(shared, "key"))
-    texts = rows.select(F.col(TAG).alias("t"), "text")
-    tested = None
+    wanted = open_rows.select(F.col("a").alias("t")).distinct()
+    texts = stash(rows.select(F.col(TAG).alias("t"), "text").join(wanted, "t", "left_semi"))
+    tested, size = None, 1
     while True:
-        pairs, large = leader_pairs(open_rows, SMALL, LEADERS)
+        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size)
+        size *= GROWTH
         pairs = stash(pairs)
         fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
