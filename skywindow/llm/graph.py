@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -26,12 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def leader_pairs(rows: DataFrame, small: int, leaders: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def leader_pairs(rows: DataFrame, small: int, leaders: int, carry: tuple[str, ...] = (), likely: Callable[[], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs ``key, a, b`` to verify in each bucket of ``key, a`` rows, and the rows of the large buckets with ``leads``.
 
     Buckets of up to ``small`` members give all pairs. In larger ones about ``leaders`` members, chosen by a hash, and the
     least one are paired with each member: the number of pairs grows with the members, not with their square. Columns of
-    ``carry`` come along, those of ``b`` with ``_b`` behind their names.
+    ``carry`` come along, those of ``b`` with ``_b`` behind their names; ``likely`` is a condition on them.
     """
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("least")).where("n > 1")
     sized = rows.join(counts, "key")
@@ -39,4 +41,6 @@ def leader_pairs(rows: DataFrame, small: int, leaders: int, carry: tuple[str, ..
     sized = sized.withColumn("leads", (F.col("n") <= small) | share | (F.col("a") == F.col("least")))
     heads = sized.where("leads").select("key", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
     found = sized.join(heads, "key").where((F.col("a") != F.col("b")) & ((F.col("a") < F.col("b")) | ~F.col("leads")))
+    if likely is not None:
+        found = found.where(likely())
     return found.select("key", "a", "b", *carry, *[f"{c}_b" for c in carry]), sized.where(F.col("n") > small).select("key", "a", *carry, "leads")

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TAG, sliced, stash, tagged
@@ -27,6 +27,9 @@ REGISTERS = BANDS * ROWS
 #: Buckets up to this size are compared whole; larger ones by about so many leaders. Both grow by GROWTH each round, until
 #: all members are settled.
 SMALL, LEADERS, GROWTH = 12, 3, 6
+#: A candidate pair is verified if so many of its registers agree (by one byte each): a pair of similarity 0.8 has 96 of
+#: 120 on average and misses this with probability 0.003; verification itself is exact.
+LEAST_AGREE = 84
 
 
 def _exponential(key: np.ndarray, seed: int) -> np.ndarray:
@@ -92,14 +95,31 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         w = Words(b.column("text"))
         doc, sh, count = shingle_counts(*w.shingles(SHINGLE))
-        keys = band_keys(registers(doc, sh, count, b.num_rows))
+        reg = registers(doc, sh, count, b.num_rows)
+        keys = band_keys(reg)
+        marks = (mix(reg, 21) & U(0xFF)).astype(np.uint8).reshape(b.num_rows, -1).view(np.int64).reshape(-1)
         at = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.count)
         sums = []
         for seed in (1, 2):
             whole = np.concatenate([[U(0)], np.cumsum(mix(w.hash + at.astype(U) * U(0x9E3779B97F4A7C15), seed))])
             sums.append(mix(whole[w.first[1:]] - whole[w.first[:-1]] + w.count.astype(U), seed).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(TAG), b.column("doc_id"), pa.array(w.count), pa.array(sums[0]), pa.array(sums[1]), lists], [TAG, "doc_id", "n_words", "h1", "h2", "bands"])
+        mark_lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (REGISTERS // 8)), pa.array(marks))
+        yield pa.RecordBatch.from_arrays([b.column(TAG), b.column("doc_id"), pa.array(w.count), pa.array(sums[0]), pa.array(sums[1]), lists, mark_lists], [TAG, "doc_id", "n_words", "h1", "h2", "bands", "marks"])
+
+
+def likely() -> Column:
+    """Enough registers agree, and this bucket is the first that the two share, so that a pair comes up once."""
+    differ = F.lit(0)
+    for i in range(REGISTERS // 8):
+        x = F.col("marks")[i].bitwiseXOR(F.col("marks_b")[i])
+        for shift in (4, 2, 1):  # a byte that is not 0 ends with its last bit set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    first = F.lit(BANDS)
+    for i in reversed(range(BANDS)):
+        first = F.when(F.col("bands")[i] == F.col("bands_b")[i], i).otherwise(first)
+    return (differ <= REGISTERS - LEAST_AGREE) & (first == F.col("band"))
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -144,30 +164,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = tagged(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = stash(rows.mapInArrow(_sign, f"{TAG} long, doc_id {id_type}, n_words long, h1 long, h2 long, bands array<long>"))
+    signed = stash(rows.mapInArrow(_sign, f"{TAG} long, doc_id {id_type}, n_words long, h1 long, h2 long, bands array<long>, marks array<long>"))
     equal = signed.where("n_words > 0").groupBy("h1", "h2").agg(F.min(TAG).alias("rep"))
-    member = signed.join(equal, ["h1", "h2"], "left").select(TAG, "doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col(TAG)).alias("rep"), F.when((F.col("n_words") > 0) & (F.col("rep") == F.col(TAG)), F.col("bands")).alias("bands"))
+    member = signed.join(equal, ["h1", "h2"], "left").select(TAG, "doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col(TAG)).alias("rep"), F.when((F.col("n_words") > 0) & (F.col("rep") == F.col(TAG)), F.col("bands")).alias("bands"), "marks")
     member = stash(member)
-    keyed = member.where("bands is not null").select(F.explode("bands").alias("key"), F.col(TAG).alias("a"))
+    keyed = member.where("bands is not null").select(F.posexplode("bands").alias("band", "key"), F.col(TAG).alias("a"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_rows = stash(keyed.join(shared, "key"))
+    open_rows = keyed.join(shared, "key").join(member.where("bands is not null").select(F.col(TAG).alias("a"), "bands", "marks"), "a")
+    open_rows = stash(open_rows)
     wanted = open_rows.select(F.col("a").alias("t")).distinct()
-    texts = stash(rows.select(F.col(TAG).alias("t"), "text").join(wanted, "t", "left_semi"))
+    texts = stash(rows.select(F.col(TAG).alias("t"), "text").join(wanted.hint("merge"), "t", "left_semi"))
     tested, size = None, 1
     while True:
-        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size)
+        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size, ("band", "bands", "marks"), likely)
+        pairs = pairs.select("key", "a", "b")
         size *= GROWTH
         pairs = stash(pairs)
         fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        met = fresh.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("t")).drop("t").join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("t")).drop("t")
+        met = fresh.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
         done = stash(met.mapInArrow(_verify, "a long, b long, similar boolean"))
         tested = done if tested is None else tested.unionByName(done)
         # members of large buckets that no leader has taken meet other leaders
         large = large.where("not leads")
         linked = pairs.join(tested.where("similar").select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", "a").distinct()
-        open_rows = stash(large.join(linked, ["key", "a"], "left_anti").select("key", "a"))
+        open_rows = stash(large.drop("leads").join(linked, ["key", "a"], "left_anti"))
         if open_rows.isEmpty():
             break
     labels = components(tested.where("similar"))
