@@ -77,7 +77,7 @@ def pairs(text: str) -> Iterator[Pair]:
         elif armed and name is not None:
             if kind == "string":
                 got = Pair(name, m.start() + 1, m.end() - 1, None)
-            elif kind == "word" and not re.search(r"[0-9]", m.group()) and len(m.group()) < 40:
+            elif kind == "word":
                 got = Pair(name, m.start(), m.end(), m.group())
             else:
                 got = Pair(name, m.start(), m.end(), None)
@@ -112,6 +112,10 @@ def lexed(text: str) -> list[tuple[int, int, int]]:
     found = list(pairs(text))
     if not found:
         return []
+    assigned = {p.name for p in found}
+    for p in found:
+        if p.ref not in assigned:
+            p.ref = None  # a bare word that names nothing is a literal
     score: dict[str, int] = {}
     reads: dict[str, set[str]] = {}  # name -> names that are assigned it
     for p in found:
