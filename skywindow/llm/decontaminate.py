@@ -165,7 +165,7 @@ def _blocks(items: DataFrame) -> list[Items]:
     """The items in blocks of proven size; an item's text counts as it is after ``normal``."""
     blocks, ids, texts, size = [], [], [], 0
     for row in items.toLocalIterator():
-        t = normal(pa.array([row.text]))[0].as_py()
+        t = normal(pa.array([row.text], pa.string()))[0].as_py()
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(t) > BLOCK_CHARS):
             blocks.append(split_items(ids, texts))
             ids, texts, size = [], [], 0
