@@ -139,15 +139,15 @@ edge AS (SELECT m.t, m.mlat, m.mlon, CASE WHEN m.lit THEN 1 ELSE -1 END * coales
 def space(horizon_s: int) -> str:
     def asof(name: str, lag: int, cols: str, strict: bool = False) -> str:
         op = ">" if strict else ">="
-        picks = ", ".join(f"CASE WHEN epoch(a.at) - {lag} - epoch(h.time) <= 3600 THEN h.{c} END AS {alias}" for c, alias in (x.split(":") for x in cols.split()))
-        return f"{name} AS (SELECT a.w, {picks} FROM at a ASOF LEFT JOIN series h ON a.at - to_seconds({lag}) {op} h.time)"
+        picks = ", ".join(f"CASE WHEN epoch(a.moment) - {lag} - epoch(h.time) <= 3600 THEN h.{c} END AS {alias}" for c, alias in (x.split(":") for x in cols.split()))
+        return f"{name} AS (SELECT a.w, {picks} FROM ats a ASOF LEFT JOIN series h ON a.moment - to_seconds({lag}) {op} h.time)"
 
     lags = [asof(f"k{h}", h * 3600, f"kp:kp_lag{h}h") for h in (3, 6, 12, 24, 48)]
     return ",\n".join(
         [
             HOURLY_SQL.strip("\n"),
             "series AS (SELECT h.*, (SELECT avg(x.f107) FROM hourly x WHERE x.time >= h.time - INTERVAL 27 DAY AND x.time < h.time) AS smooth FROM hourly h)",
-            f"at AS (SELECT DISTINCT w, w - to_seconds({horizon_s}) AS at FROM lab)",
+            f"ats AS (SELECT DISTINCT w, w - to_seconds({horizon_s}) AS moment FROM lab)",
             asof("k0", 0, "kp:kp_now bz_gsm:bz_gsm_now solar_wind_speed:solar_wind_speed_now dst:dst_now smooth:f107_smoothed_27d"),
             *lags,
             asof("fd", 0, "f107:f107_daily", True),
@@ -231,7 +231,7 @@ WHERE open = 1 OR r <= k""",
     "solar_features": upto(*TO_LABELS, GEO, SUN) + "SELECT t AS window_s, tx_field, rx_field, round(mz, 5) AS midpoint_solar_zenith, round(xz, 5) AS tx_control_solar_zenith, round(rz, 5) AS rx_control_solar_zenith, round(((mz < 90)::INT + (xz < 90)::INT + (rz < 90)::INT) / 3.0::DOUBLE, 5) AS path_daylight_fraction FROM sun",
     "hours_since_terminator": upto(*TO_LABELS, GEO, SUN, EDGE) + "SELECT sun.t AS window_s, tx_field, rx_field, hrs AS midpoint_hours_since_terminator FROM sun JOIN edge ON sun.t = edge.t AND sun.mlat = edge.mlat AND sun.mlon = edge.mlon",
     "time_band_features": upto(*TO_LABELS)
-    + f"SELECT DISTINCT CAST(epoch(w) AS BIGINT) AS window_s, band, round(sin(2 * pi() * hour(w) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(w) / 24), 6) AS hour_cos, round(sin(2 * pi() * dayofyear(w) / 365), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(w) / 365), 6) AS doy_cos, month(w) AS month, CAST(list_position([{_list(BANDS)}], band) - 1 AS BIGINT) AS band_ordinal FROM lab",
+    + f"SELECT DISTINCT CAST(epoch(w) AS BIGINT) AS window_s, band, round(sin(2 * pi() * hour(w) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(w) / 24), 6) + 0.0 AS hour_cos, round(sin(2 * pi() * dayofyear(w) / 365), 6) + 0.0 AS doy_sin, round(cos(2 * pi() * dayofyear(w) / 365), 6) + 0.0 AS doy_cos, month(w) AS month, CAST(list_position([{_list(BANDS)}], band) - 1 AS BIGINT) AS band_ordinal FROM lab",
     "spaceweather_features": upto(*TO_LABELS, space(0)) + _space_out,
     "spaceweather_features_h6": upto(*TO_LABELS, space(21600)) + _space_out,
     "history_same_cell": history("same_cell", "tx_field AS tx, rx_field AS rx, band AS b FROM lab"),
