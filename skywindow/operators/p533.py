@@ -17,8 +17,7 @@ from ..schema import DIAL_MHZ, literal_map
 
 KEY = ["tx_field", "rx_field", "band", "month", "hour", "ssn_round"]
 NOISE_WATTS_DB = 204.0
-# Day-to-day deciles of the signal by frequency over basic MUF (upper edges), below and above 60 degrees
-# of geomagnetic latitude, and hour-to-hour deciles.
+# Hour-to-hour deciles of the signal.
 HOUR_UPPER_DB, HOUR_LOWER_DB = 5.0, 8.0
 
 
@@ -26,6 +25,7 @@ def card(tx_lat: Column, tx_lon: Column, rx_lat: Column, rx_lon: Column, month:
     """The engine's input text; months and hours out of range are errors, hours count from 1."""
     month = F.when(month.between(1, 12), month).otherwise(F.raise_error(F.concat(F.lit("month "), month.cast("string"))))
     hour = F.when(hour.between(0, 23), hour).otherwise(F.raise_error(F.concat(F.lit("hour "), hour.cast("string"))))
+    # The names and constants of the engine's input format.
     at = lambda name, lat, lon: [(f"{name}.lat %.4f", lat), (f"{name}.lng %.4f", lon)]
     lines = [
         ('PathName "path"', None), ('PathTXName "tx"', None), *at("Path.L_tx", tx_lat, tx_lon), ('PathRXName "rx"', None), *at("Path.L_rx", rx_lat, rx_lon),
