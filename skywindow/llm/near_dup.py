@@ -24,9 +24,9 @@ SHINGLE, SIMILAR = 5, 0.8
 #: 20 bands of 6 registers: a pair of similarity 0.8 is a candidate with probability 0.998, one of 0.5 with 0.27.
 BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
-#: Buckets up to this size are compared whole; larger ones by about so many leaders. Both grow by GROWTH each round, until
-#: all members are settled.
-SMALL, LEADERS, GROWTH = 12, 3, 6
+#: Buckets up to this size are compared whole; larger ones by about so many leaders. Both grow by GROWTH each round; texts
+#: that are already in one component aren't compared again.
+SMALL, LEADERS, GROWTH = 12, 3, 16
 #: A candidate pair is verified if so many of its registers agree (by one byte each): a pair of similarity 0.8 has 96 of
 #: 120 on average and misses this with probability 0.003; verification itself is exact.
 LEAST_AGREE = 84
@@ -109,7 +109,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def likely() -> Column:
-    """Enough registers agree, and this bucket is the first that the two share, so that a pair comes up once."""
+    """Not yet in one component, enough registers agree, and this bucket is the first that the two share: a pair comes up once."""
     differ = F.lit(0)
     for i in range(REGISTERS // 8):
         x = F.col("marks")[i].bitwiseXOR(F.col("marks_b")[i])
@@ -119,7 +119,7 @@ def likely() -> Column:
     first = F.lit(BANDS)
     for i in reversed(range(BANDS)):
         first = F.when(F.col("bands")[i] == F.col("bands_b")[i], i).otherwise(first)
-    return (differ <= REGISTERS - LEAST_AGREE) & (first == F.col("band"))
+    return (F.col("part") != F.col("part_b")) & (differ <= REGISTERS - LEAST_AGREE) & (first == F.col("band"))
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -171,28 +171,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = member.where("bands is not null").select(F.posexplode("bands").alias("band", "key"), F.col(TAG).alias("a"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_rows = keyed.join(shared, "key").join(member.where("bands is not null").select(F.col(TAG).alias("a"), "bands", "marks"), "a")
-    open_rows = stash(open_rows)
+    open_rows = stash(open_rows.withColumn("part", F.col("a")))
     wanted = open_rows.select(F.col("a").alias("t")).distinct()
     texts = stash(rows.select(F.col(TAG).alias("t"), "text").join(wanted.hint("merge"), "t", "left_semi"))
     tested, size = None, 1
     while True:
-        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size, ("band", "bands", "marks"), likely)
-        pairs = pairs.select("key", "a", "b")
+        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size, ("band", "bands", "marks", "part"), likely)
         size *= GROWTH
-        pairs = stash(pairs)
         fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         met = fresh.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
         done = stash(met.mapInArrow(_verify, "a long, b long, similar boolean"))
         tested = done if tested is None else tested.unionByName(done)
-        # members of large buckets that no leader has taken meet other leaders
-        large = large.where("not leads")
-        linked = pairs.join(tested.where("similar").select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("key", "a").distinct()
-        open_rows = stash(large.drop("leads").join(linked, ["key", "a"], "left_anti"))
+        labels = components(tested.where("similar"))
+        # large buckets whose members are in several components go on, with more leaders
+        parts = large.drop("leads", "part").join(labels.toDF("a", "label"), "a", "left").withColumn("part", F.coalesce("label", "a")).drop("label")
+        mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
+        open_rows = stash(parts.join(mixed, "key"))
         if open_rows.isEmpty():
             break
-    labels = components(tested.where("similar"))
     named = member.join(labels, member.rep == labels.node, "left").select(TAG, "doc_id", F.coalesce("label", "rep").alias("class"))
     ids = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return named.join(ids, "class").select(TAG, "doc_id", "class_id", "class")
