@@ -50,19 +50,19 @@ class GBT:
         )
         chain = [
             VectorAssembler(inputCols=[f"_x_{f}" for f in self.features] + [f"_m_{f}" for f in self.nullable], outputCol="_f"),
-            GBTClassifier(featuresCol="_f", labelCol="_y", weightCol="_w", validationIndicatorCol="_late", maxIter=self.trees, maxDepth=self.depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED, predictionCol="_c", probabilityCol="_p", rawPredictionCol="_r"),
+            GBTClassifier(featuresCol="_f", labelCol="_y", weightCol="_w", validationIndicatorCol="_late", maxIter=self.trees, maxDepth=self.depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED, predictionCol="_c"),
         ]
         from pyspark.ml import Pipeline
 
         self.model = Pipeline(stages=chain).fit(rows)
-        tail = self.model.transform(rows.where("_late")).select(F.element_at(vector_to_array("_p"), 2).alias("_raw"), "_y", "_w")
+        tail = self.model.transform(rows.where("_late")).select(F.element_at(vector_to_array("probability"), 2).alias("_raw"), "_y", "_w")
         self.calibration = IsotonicRegression(featuresCol="_raw", labelCol="_y", weightCol="_w", predictionCol="p_open").fit(tail)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None or self.calibration is None:
             raise RuntimeError("predict before fit")
-        scored = self.model.transform(self._inputs(df)).withColumn("_raw", F.element_at(vector_to_array("_p"), 2))
+        scored = self.model.transform(self._inputs(df)).withColumn("_raw", F.element_at(vector_to_array("probability"), 2))
         out = self.calibration.transform(scored)
         return out.select(*df.columns, F.least(F.greatest("p_open", F.lit(0.0)), F.lit(1.0)).alias("p_open"))
 

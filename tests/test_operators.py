@@ -163,3 +163,17 @@ def test_keyed_scorer(spark, tmp_path):
         got = model.predict(cells).collect()
         assert len(got) == 8 and {(r.band, r.p_open) for r in got} == {("20m", 0.5), ("6m", None)}
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_boosted_trees(spark, tmp_path):
+    from skywindow.operators.gbt import GBT
+
+    rows = [(at(h % 90, 15 * (h % 4)), "FN", "DM", "20m", 1, float(h % 10), int(h % 10 > 4)) for h in range(400)]
+    cells = spark.createDataFrame(rows, CELLS).withColumn("kp_now", F.when(F.col("snr_ft8eq_p50") > 0, F.col("snr_ft8eq_p50")))
+    model = GBT(["kp_now", "n_spots"], trees=5, depth=3).fit(cells)
+    assert metrics.scores(model.predict(cells)).first().brier < 0.1
+    model.save(spark, str(tmp_path / "m"))
+    again = GBT.load(spark, str(tmp_path / "m"), ["kp_now", "n_spots"])
+    assert {r.p_open for r in again.predict(cells).collect()} == {r.p_open for r in model.predict(cells).collect()}
+    with pytest.raises(ValueError):
+        GBT.load(spark, str(tmp_path / "m"), ["other"])
