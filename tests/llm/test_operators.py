@@ -112,6 +112,37 @@ def test_passages_match_brute_force(spark):
     assert sum(r.is_first for r in got) == len({r.passage_id for r in got}) == 3
 
 
+def test_passages_with_edits_in_the_middle():
+    def brute(same):
+        cover = set()
+        for i in range(len(same)):
+            gain = 0
+            for j in range(i, len(same)):
+                gain += 1 if same[j] else -substring_dedup.PENALTY
+                if gain >= 0 and j + 1 - i >= substring_dedup.RUN:
+                    cover.update(k for k in range(i, j + 1) if same[k])
+        return cover
+
+    a = np.arange(56, dtype=np.uint64)
+    b = a.copy()
+    b[26:31] += np.uint64(1000)  # one word of 60
+    assert substring_dedup.passages(a, b, 0) == [(0, 56)]
+    rng = random.Random(9)
+    for _ in range(300):
+        a = np.arange(rng.randint(40, 260), dtype=np.uint64)
+        b = a.copy()
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(a))
+            b[at : at + rng.choice((5, 5, 12))] += np.uint64(1000)
+        diag = rng.choice((0, 3, -4))
+        b = b[diag:] if diag >= 0 else np.concatenate([np.full(-diag, 9999, np.uint64), b])
+        got = substring_dedup.passages(a, b, diag)
+        same = [0 <= k - diag < len(b) and a[k] == b[k - diag] for k in range(len(a))]
+        lo, hi = max(0, diag), min(len(a), len(b) + diag)
+        assert {k for x, y in got for k in range(x, y) if same[k]} == {lo + k for k in brute(same[lo:hi])}
+        assert all(y - x >= substring_dedup.RUN and sum(same[x:y]) >= 8 * (y - x - sum(same[x:y])) for x, y in got)
+
+
 def test_hot_passage_is_found_by_exact_windows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "ROUNDS", 1)
     monkeypatch.setattr(substring_dedup, "SMALL", 2)
