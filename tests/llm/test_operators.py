@@ -143,6 +143,24 @@ def test_passages_with_edits_in_the_middle():
         assert all(y - x >= substring_dedup.RUN and sum(same[x:y]) >= 8 * (y - x - sum(same[x:y])) for x, y in got)
 
 
+def test_every_place_of_a_passage_is_found(spark):
+    rng = random.Random(10)
+    p, q = prose(rng, 70), prose(rng, 60)
+    line = q.split()
+    texts = [
+        " ".join([prose(rng, 40), p, prose(rng, 40), p, prose(rng, 40), p]), prose(rng, 30) + " " + p,
+        # a shorter quotation comes first, and fails
+        " ".join([prose(rng, 30), *line[15:45], prose(rng, 30), q, prose(rng, 30)]), prose(rng, 20) + " " + q,
+        " ".join([p.upper()] * 2),
+    ]
+    got = {}
+    for r in substring_dedup.repeated_passages(docs(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    for k, passage in ((0, p), (1, p), (2, q), (3, q), (4, p.upper())):
+        for m in re.finditer(re.escape(passage), texts[k]):
+            assert any(a <= m.start() and m.end() <= b for a, b in got[k]), (k, m.start())
+
+
 def test_hot_passage_is_found_by_exact_windows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "ROUNDS", 1)
     monkeypatch.setattr(substring_dedup, "SMALL", 2)
