@@ -171,6 +171,43 @@ def test_hot_passage_is_found_by_exact_windows(spark, monkeypatch):
     assert {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, texts)).collect()} == set(range(12))
 
 
+def test_edited_passages_of_a_hot_key_are_found(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(substring_dedup, "SMALL", 2)
+    monkeypatch.setattr(substring_dedup, "LEADERS", 0)
+    rng = random.Random(12)
+    line, texts = prose(rng, 40).split(), []
+    for k in range(16):
+        side = [f"w{k}x{j}" for j in range(20)]
+        for at in (None, 12):  # no 50 words stay the same
+            mine = [*side[:10], *line, *side[10:]]
+            if at:
+                mine[at] = "changed"
+            texts.append(" ".join(mine))
+    got = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert {r.doc_id for r in got} == set(range(32)) and len({r.passage_id for r in got}) == 16
+
+
+def test_seeds_keep_what_matches():
+    rng = random.Random(13)
+    for _ in range(200):
+        same = np.ones(substring_dedup.RUN, bool)
+        at = rng.randrange(-4, substring_dedup.RUN)
+        same[max(0, at) : at + 5] = False  # a changed word
+        run = max(len(x) for x in "".join("x" if v else " " for v in same).split())
+        assert run >= substring_dedup.SEED
+    # two places of one key, alike only in a seed that both have at the same distance from the anchor
+    a = [f"w{k}" for k in range(60)]
+    b = [*a[:30], "other", *a[31:]]
+    rows = pa.RecordBatch.from_pylist([{"a": k, "at": [{"key": 7, "c": 10, "lo": 0, "hi": 36, "open": True}], "text": " ".join(x)} for k, x in enumerate((a, b, [f"v{k}" for k in range(60)]))])
+    keys = {}
+    for out in substring_dedup._seeds([rows]):
+        for t, key in zip(out.column("a").to_pylist(), out.column("key").to_pylist(), strict=True):
+            keys.setdefault(t, set()).add(key)
+    assert [len(keys[k]) for k in range(3)] == [37, 37, 37]
+    assert len(keys[0] & keys[1]) == 7 + 6 and not keys[0] & keys[2]  # seeds from 0 to 6, and from 31 to 36
+
+
 def test_window_hashes_are_those_of_the_content():
     rng = np.random.default_rng(0)
     sh = rng.integers(0, 5, 200).astype(np.uint64)
