@@ -143,6 +143,23 @@ def test_passages_with_edits_in_the_middle():
         assert all(y - x >= substring_dedup.RUN and sum(same[x:y]) >= 8 * (y - x - sum(same[x:y])) for x, y in got)
 
 
+def test_every_passage_with_an_edit_shares_a_key_and_aligns():
+    rng = random.Random(14)
+    for k in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy, at = list(base), rng.randrange(5, 55)
+        (lambda: copy.__setitem__(at, "edit"), lambda: copy.insert(at, "edit"), lambda: copy.pop(at))[k % 3]()
+        pad = [[f"{x}{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))] for x in "abcd"]
+        texts = [" ".join(pad[0] + base + pad[1]), " ".join(pad[2] + copy + pad[3])]
+        sh, first = substring_dedup.Words(pa.array(texts)).shingles(5)
+        d, key, c, _, _ = substring_dedup.runs(sh, first)
+        places = [{(int(q), int(p)) for q, p in zip(key[d == s], c[d == s], strict=True)} for s in (0, 1)]
+        diags = sorted({p - o for q, p in places[0] for r, o in places[1] if q == r})
+        found = [m for x in substring_dedup.aligned(sh[: first[1]], sh[first[1] :], diags) for m in x]
+        x, y = len(pad[0]), len(pad[2])
+        assert any(m[0] <= x and x + 56 <= m[1] and m[2] <= y and y + len(copy) - 4 <= m[3] for m in found), (k, at)
+
+
 def test_every_place_of_a_passage_is_found(spark):
     rng = random.Random(10)
     p, q = prose(rng, 70), prose(rng, 60)
