@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN_LEAST = 6
 #: Parts of names that tell of a secret, and their weights.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "privatekey": 3, "accesskey": 3, "signingkey": 3, "encryptionkey": 3, "credential": 2, "auth": 1, "bearer": 2, "cookie": 1, "session": 1, "salt": 1, "key": 1}
+#: Names of weight 1 that are specific, so that a random literal suffices: all but a bare ``key``.
+SPECIFIC = re.compile(r"[a-z0-9]key|auth|cookie|session|salt")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your.*|none|null|true|false|todo|test|<.*>|\$\{.*\}|%.*%)$")
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 TOKEN = re.compile(
@@ -41,7 +43,8 @@ LITERAL_LEAST = 8
 
 def sensitivity(name: str) -> int:
     flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((w for part, w in SENSITIVE.items() if part in flat), default=0)
+    weight = max((w for part, w in SENSITIVE.items() if part in flat), default=0)
+    return 2 if weight == 1 and SPECIFIC.search(flat) else weight
 
 
 def entropy(s: str) -> float:
@@ -49,13 +52,17 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+def looks_random(value: str) -> bool:
+    return entropy(value) >= 3.0 and re.search(r"[0-9]", value) is not None
+
+
 class Pair:
-    """A name and what it is assigned: a literal's span, or another name."""
+    """A name and what it is assigned: a literal's span, or another name. ``joined`` is the literal that this is a part of."""
 
-    __slots__ = ("end", "name", "ref", "start")
+    __slots__ = ("end", "joined", "name", "ref", "start")
 
-    def __init__(self, name: str, start: int, end: int, ref: str | None):
-        self.name, self.start, self.end, self.ref = name, start, end, ref
+    def __init__(self, name: str, start: int, end: int, ref: str | None, joined: Pair | None = None):
+        self.name, self.start, self.end, self.ref, self.joined = name, start, end, ref, joined
 
 
 def pairs(text: str) -> Iterator[Pair]:
@@ -85,7 +92,7 @@ def pairs(text: str) -> Iterator[Pair]:
             joined, armed = got, False
             name, name_end = (m.group(), m.end()) if kind == "word" else (None, -1)
         elif joined is not None and kind == "string" and text[joined.end : m.start()].strip("\"' \t") == "+":
-            joined = Pair(joined.name, m.start() + 1, m.end() - 1, None)  # a further part of a joined literal
+            joined = Pair(joined.name, m.start() + 1, m.end() - 1, None, joined.joined or joined)  # a further part of a joined literal
             yield joined
         else:
             name = m.group().strip("\"'") if kind in ("word", "string") else None
@@ -134,14 +141,19 @@ def lexed(text: str) -> list[tuple[int, int, int]]:
             if score.get(ref, 0) < score[n]:
                 score[ref] = score[n]
                 todo.append(ref)
+    # the parts of a joined literal are judged as one
+    whole: dict[Pair, str] = {}
+    for p in found:
+        first = p.joined or p
+        whole[first] = whole.get(first, "") + ("" if p.ref else text[p.start : p.end])
     out = []
     for p in found:
-        value = text[p.start : p.end]
-        if p.ref or len(value) < LITERAL_LEAST or PLACEHOLDER.match(value) or re.search(r"\s", value):
+        value = whole[p.joined or p]
+        if p.ref or p.start == p.end or len(value) < LITERAL_LEAST or PLACEHOLDER.match(value):
             continue
-        random_ = entropy(value) >= 3.0 and re.search(r"[0-9]", value) is not None
-        s = score[p.name] + random_
-        if score[p.name] and random_ and s >= LEAST_SCORE:
+        weight = score[p.name]
+        s = weight + looks_random(value)
+        if weight and s >= LEAST_SCORE:
             out.append((p.start, p.end, s))
     return out
 

@@ -389,6 +389,22 @@ def test_secrets(spark):
     assert got[3].redacted == "[SECRET]" and got[8].redacted is None
 
 
+def test_every_listed_name_can_report():
+    def found(text):
+        return [text[a:b] for a, b, _ in secret_scan.lexed(text)]
+
+    for part in secret_scan.SENSITIVE:
+        name = f"my_{part}"
+        assert found(f'{name} = "qW3rT9zX8cVb2Nm4"') == ["qW3rT9zX8cVb2Nm4"], name
+    for name in ("stripe_key", "session_id", "auth_header", "cookie"):
+        assert found(f'{name} = "qW3rT9zX8cVb2Nm4"') == ["qW3rT9zX8cVb2Nm4"]
+    # a weight of 3 suffices without a digit, also for a literal with white space
+    assert found('db_pwd = "CorrectHorseBattery"') == ["CorrectHorseBattery"]
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('db_pwd = "abc12" + "def34"') == ["abc12", "def34"]
+    assert found('colour = "qW3rT9zX8cVb2Nm4"\ndb_pwd = "changeme"\nsession = "two plain words"') == []
+
+
 def test_base_spans_match_the_plain_patterns(table):
     kinds = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
     for r in table.collect():
