@@ -39,7 +39,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat_format.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    out = chat_format.whole_conversations(chat_format.rotate_perspectives(_table(spark, sf_dir, "conversations")))
     mask = F.concat_ws(",", F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))))
     return out.select("conv_id", "chunk", "perspective", "n_turns", "rendered", mask.alias("mask"))
 

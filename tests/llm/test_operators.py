@@ -370,6 +370,26 @@ def test_long_conversations_are_cut(spark, monkeypatch):
     assert all(r.n_turns <= 10 for r in got) and sum(r.conv_id == 2 for r in got) == 1
 
 
+def test_long_conversations_are_whole_in_the_query(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    from skywindow.llm.queries import QUERIES, SQL
+
+    monkeypatch.setattr(chat_format, "CHUNK", 10)
+    rows = [(c, k, "system" if k == 0 else f"p{k % 3}", f"t{k}" * (1 + k % 4)) for c in (1, 2, None) for k in range(57)] + [(3, k, "a", "x") for k in range(5)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op5_chat_formatting"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(SQL["op5_chat_formatting"])
+    names = [d[0] for d in want.description]
+    assert sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == sorted(str(r) for r in want.fetchall())
+    # cuts are the same however the rows lie
+    cuts = {frozenset((r.conv_id, r.chunk, r.perspective, r.rendered) for r in chat_format.rotate_perspectives(table.repartition(n)).collect()) for n in (1, 7)}
+    assert len(cuts) == 1 and {r[1] for r in next(iter(cuts)) if r[0] == 1} == set(range(1, 7))
+
+
 # --- op6
 
 
