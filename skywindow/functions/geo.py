@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import EARTH_KM, FIELD, GEOMAG_POLE, GRID4
+from ..schema import EARTH_KM, GEOMAG_POLE
 
 
 def _letter(g: Column, at: int) -> Column:
@@ -66,6 +66,13 @@ def geomag_lat(lat: Column, lon: Column) -> Column:
     return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
 
 
+#: What each character of a grid counts as: a letter of A to R, or a digit.
+_KINDS = ("ABCDEFGHIJKLMNOPQR0123456789", "a" * 18 + "9" * 10)
+
+
 def normal_grid(g: Column) -> Column:
     """The first four characters, upper case, if they are a grid or exactly a field; RR73 is a sign-off, not a place."""
-    return F.nullif(F.regexp_extract(F.upper(F.trim(g)), rf"^(?!RR73)(?:{GRID4[1:-1]}|{FIELD[1:]})", 0), F.lit(""))
+    whole = F.upper(F.trim(g))
+    four = F.substring(whole, 1, 4)
+    kinds = F.translate(four, *_KINDS)
+    return F.when(((kinds == "aa99") & (four != "RR73")) | ((kinds == "aa") & (F.length(whole) == 2)), four)

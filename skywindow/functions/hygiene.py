@@ -43,17 +43,17 @@ def without_skimmer(call: Column) -> Column:
 def judged(spots: DataFrame) -> DataFrame:
     """Adds ``reject_reason``: null for a spot that qualifies, else the first reason that applies.
 
-    Calls and grids are normalised once, as columns of their own, and the cascade reads those. The distance goes from grid
-    centres where there are grids, else from the given places.
+    Calls and grids are normalised once, in a struct that is unpacked from an array: unlike a projection, that is not merged
+    with the cascade or with a filter on the reason, which would work each of them out again wherever it is named. The
+    distance goes from grid centres where there are grids, else from the given places.
     """
     c = F.col
-    rows = spots.withColumns({"_xg": normal_grid(c("dx_grid")), "_eg": normal_grid(c("de_grid")), "_xc": bare_call(c("dx_call")), "_ec": bare_call(c("de_call"))})
+    clean = {"_xg": normal_grid(c("dx_grid")), "_eg": normal_grid(c("de_grid")), "_xc": bare_call(c("dx_call")), "_ec": bare_call(c("de_call"))}
+    rows = spots.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in clean.items()]))))
     place = lambda g, lat, lon: (F.coalesce(grid_lat(c(g)), c(lat)), F.coalesce(grid_lon(c(g)), c(lon)))
-    ends = dict(zip(("_xlat", "_xlon", "_elat", "_elon"), (*place("_xg", "dx_lat", "dx_lon"), *place("_eg", "de_lat", "de_lon")), strict=True))
-    rows = rows.withColumns(ends)
     missing = lambda n: c(n).isNull() | (c(n) == "")
     valid = lambda n: F.coalesce(c(n).rlike(CALLSIGN), F.lit(False))
-    mobile = lambda n: c(n).rlike("/(MM|AM)$")
+    mobile = lambda n: c(n).endswith("/MM") | c(n).endswith("/AM")
     lost = lambda g, lat, lon: c(g).isNull() & (c(lat).isNull() | c(lon).isNull())
     reason = (
         F.when(c("ts").isNull() | missing("band") | missing("mode") | missing("dx_call") | missing("de_call"), "missing_required_field")
@@ -63,9 +63,9 @@ def judged(spots: DataFrame) -> DataFrame:
         .when(F.split_part("_xc", F.lit("/"), F.lit(1)) == F.split_part("_ec", F.lit("/"), F.lit(1)), "self_spot")
         .when(is_rr73(c("dx_grid")) | is_rr73(c("de_grid")), "rr73_grid")
         .when(lost("_xg", "dx_lat", "dx_lon") | lost("_eg", "de_lat", "de_lon"), "no_usable_location")
-        .when(great_circle_km(c("_xlat"), c("_xlon"), c("_elat"), c("_elon")) < LEAST_PATH_KM, "distance_too_short")
+        .when(great_circle_km(*place("_xg", "dx_lat", "dx_lon"), *place("_eg", "de_lat", "de_lon")) < LEAST_PATH_KM, "distance_too_short")
     )
-    return rows.withColumn("reject_reason", reason).drop("_xg", "_eg", "_xc", "_ec", *ends)
+    return rows.select(*[F.col(f"`{n}`") for n in spots.columns], F.inline(F.array(F.struct(reason.alias("reject_reason")))))
 
 
 def qualifying(spots: DataFrame) -> DataFrame:
