@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CELL
@@ -29,16 +29,10 @@ def gap_hours(horizon_hours: float, lookback_hours: float) -> float:
 
 
 def folds(start: datetime, end: datetime, train_days: int, eval_days: int, gap: float) -> list[Fold]:
-    """Training blocks, a gap, and evaluation blocks; each next fold begins at the evaluation of the last."""
-    out, at = [], start
-    while True:
-        train_end = at + timedelta(days=train_days)
-        eval_start = train_end + timedelta(hours=gap)
-        eval_end = eval_start + timedelta(days=eval_days)
-        if eval_end > end:
-            return out
-        out.append(Fold(at, train_end, eval_start, eval_end))
-        at = eval_start
+    """The k-th fold begins k strides (a training block and a gap) after the start; all that end in time are given."""
+    train, stride, held = timedelta(days=train_days), timedelta(days=train_days, hours=gap), timedelta(days=eval_days)
+    begins = [start + k * stride for k in range(max(0, (end - start - held) // stride))]
+    return [Fold(b, b + train, b + stride, b + stride + held) for b in begins]
 
 
 def enforce_gap(train: DataFrame, evaluation: DataFrame, least_hours: float = LEAST_GAP_H) -> float:
@@ -107,5 +101,17 @@ def run_acceptance(arms: dict[str, DataFrame], candidate: str, cohort: DataFrame
     return report["exit"], report
 
 
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """The report as a JSON text in the folder ``path``; Spark's committer shows it whole or not at all."""
+    lines = spark.createDataFrame([(report_json(report),)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_headline(predicted: DataFrame, model: str, path: str) -> None:
+    """Adds a ``model,brier,log_loss,n`` row, six decimals, to the CSV table in the folder ``path``."""
+    row = scores(predicted).select(F.lit(model).alias("model"), *[F.format_string("%.6f", c).alias(c) for c in ("brier", "log_loss")], "n")
+    row.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
 def report_json(report: dict) -> str:
     return json.dumps(report, indent=2, sort_keys=True, default=lambda x: asdict(x) if isinstance(x, Fold) else str(x))

@@ -98,20 +98,13 @@ def add_space_weather(labels: DataFrame, hourly: DataFrame, horizon_hours: float
     return out.join(known.select("_at", *SPACE_COLUMNS), "_at").drop("_at")
 
 
-def field_neighbors(field: str) -> list[str]:
-    """Up to eight fields around one: longitude wraps, latitude doesn't."""
-    x, y = ord(field[0]) - 65, ord(field[1]) - 65
-    around = [((x + i) % 18, y + j) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i or j) and 0 <= y + j < 18]
-    return sorted({chr(65 + a) + chr(65 + b) for a, b in around})
-
-
 def adjacent_bands(band: str) -> list[str]:
     k = BANDS.index(band)
     return [BANDS[j] for j in (k - 1, k + 1) if 0 <= j < len(BANDS)]
 
 
-def _neighbors(rx):
-    """The same as ``field_neighbors``, as a column."""
+def neighbors(rx):
+    """Up to eight fields around one: longitude wraps, latitude doesn't."""
     x, y = F.ascii(F.substring(rx, 1, 1)) - 65, F.ascii(F.substring(rx, 2, 1)) - 65
     cells = [F.when((y + j).between(0, 17), F.concat(F.chr(F.pmod(x + i, F.lit(18)) + 65), F.chr(y + j + 65))) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j]
     return F.array_compact(F.array(*cells))
@@ -149,7 +142,7 @@ def add_history(history: DataFrame, labels: DataFrame, horizon_hours: float = 0.
         F.array(F.struct(F.lit("same_cell").alias("relation"), F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), F.col("band").alias("b"))),
         F.array(F.struct(F.lit("reverse_path").alias("relation"), F.col("rx_field").alias("tx"), F.col("tx_field").alias("rx"), F.col("band").alias("b"))),
         F.transform(F.split(F.element_at(band_map, F.col("band")), ","), lambda b: F.struct(F.lit("adjacent_band").alias("relation"), F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), b.alias("b"))),
-        F.transform(_neighbors(F.col("rx_field")), lambda r: F.struct(F.lit("adjacent_cell").alias("relation"), F.col("tx_field").alias("tx"), r.alias("rx"), F.col("band").alias("b"))),
+        F.transform(neighbors(F.col("rx_field")), lambda r: F.struct(F.lit("adjacent_cell").alias("relation"), F.col("tx_field").alias("tx"), r.alias("rx"), F.col("band").alias("b"))),
     )
     anchors = cells.select(*CELL, F.explode(asks).alias("ask")).select(*CELL, "ask.*").withColumn("t", sec - shift)
     rows = anchors.unionByName(past.select(F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), F.col("band").alias("b"), "t", "n", "num", "den"), allowMissingColumns=True)

@@ -67,6 +67,15 @@ def tag_storms(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     return labels.withColumn("block_start", block).join(kp, "block_start", "left").withColumn("is_storm", F.coalesce(F.col("_kp") >= STORM_KP, F.lit(False))).drop("_kp", "block_start")
 
 
+def storm_block(labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``block_start, kp`` of the strongest storm block that holds a label; of equal ones the first. No storm, no row."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("window_start") / 10800) * 10800)
+    met = labels.select(start.alias("block_start")).distinct()
+    strong = blocks.groupBy("block_start").agg(F.max("kp").alias("kp")).where(F.col("kp") >= STORM_KP).join(met, "block_start")
+    best = strong.agg(F.max(F.struct("kp", (-F.unix_seconds("block_start")).alias("t"))).alias("b")).where("b is not null")
+    return best.select(F.timestamp_seconds(-F.col("b.t")).alias("block_start"), F.col("b.kp").alias("kp"))
+
+
 def slice_scores(predicted: DataFrame, *keys: str) -> DataFrame:
     """Overall, storm and quiet rows of one report, in one pass. Needs ``is_storm``."""
     each = F.explode(F.array(F.lit("overall"), F.when(F.col("is_storm"), F.lit("storm")).otherwise(F.lit("quiet")))).alias("slice")

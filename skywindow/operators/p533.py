@@ -8,17 +8,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_lat, grid_lon
-from ..schema import DIAL_MHZ, literal_map
+from ..schema import DIAL_MHZ, EARTH_KM, literal_map
 
 KEY = ["tx_field", "rx_field", "band", "month", "hour", "ssn_round"]
 NOISE_WATTS_DB = 204.0
 # Hour-to-hour deciles of the signal.
 HOUR_UPPER_DB, HOUR_LOWER_DB = 5.0, 8.0
+#: Of the closed form: sender's power, required signal-to-noise ratio, day-to-day decile.
+POWER_DBW, REQUIRED_DB, DAY_DB = 20.0, 20.0, 8.0
 
 
 def card(tx_lat: Column, tx_lon: Column, rx_lat: Column, rx_lon: Column, month: Column, hour: Column, ssn: Column, mhz: Column, data_dir: str) -> Column:
@@ -102,6 +105,33 @@ class KeyedScorer:
         return rows.join(scored, KEY, "left").select(*df.columns, (F.col("bcr") / 100).alias("p_open"))
 
 
+def sample_keys(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` distinct keys, the first in the order of a seeded hash: the same in every run."""
+    return rows.select(*KEY).distinct().orderBy(F.xxhash64(F.lit(seed), *KEY), *KEY).limit(n)
+
+
+def cross_check(model: KeyedScorer, keys: DataFrame, path: str) -> tuple[int, int]:
+    """Scores the keys into a CSV table in the folder ``path``; how many were scored, and how many the engine failed on."""
+    scored = model._score(keys)
+    scored.where("bcr is not null").select(*KEY, F.format_string("%.4f", "bcr").alias("bcr")).write.mode("errorifexists").option("header", True).csv(path)
+    done = keys.sparkSession.read.option("header", True).csv(path).count()
+    return done, keys.count() - done
+
+
+def closed_form(keys: pd.DataFrame) -> np.ndarray:
+    """A scorer without coefficient files: free-space loss, daytime absorption and three noises into the last step's form."""
+    a, b, c, d = (np.radians(keys[n].to_numpy(float)) for n in ("tx_lat", "tx_lon", "rx_lat", "rx_lon"))
+    half = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+    km, mhz = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, half))), keys["mhz"].to_numpy(float)
+    high_sun = np.maximum(0, np.cos(2 * np.pi * (keys["hour"].to_numpy(float) - 12) / 24))
+    loss = 32.45 + 20 * np.log10(np.maximum(km, 1) * mhz) + 40 * high_sun * (7 / mhz) ** 2
+    noise = (52 - 23 * np.log10(mhz), 67.2 - 27.7 * np.log10(mhz), 40 - mhz + keys["ssn_round"].to_numpy(float) / 20)
+    margin = POWER_DBW - loss - 10 * np.log10(sum(10 ** (x / 10) for x in noise)) - 10 * np.log10(2500) + NOISE_WATTS_DB - REQUIRED_DB
+    upper, lower = (np.hypot(DAY_DB, x) for x in (HOUR_UPPER_DB, HOUR_LOWER_DB))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(margin >= 0, np.minimum(130 - 80 / (1 + margin / lower), 100), np.maximum(80 / (1 - margin / upper) - 30, 0))
+
+
 def snr_db(receiver_power: Column, noise: list[Column], bandwidth_hz: Column) -> Column:
     return receiver_power - 10 * F.log10(sum((F.pow(F.lit(10.0), x / 10) for x in noise[1:]), F.pow(F.lit(10.0), noise[0] / 10))) - 10 * F.log10(bandwidth_hz) + NOISE_WATTS_DB
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skywindow.functions.geo import geomag_lat, grid_lat, grid_lon, grid_of, normal_grid
 from skywindow.functions.hygiene import bare_call, base_call, is_valid_call, judged, mode_class, without_skimmer
 from skywindow.functions.signal import ft8_equivalent
-from skywindow.operators.features import adjacent_bands, field_neighbors
+from skywindow.operators.features import adjacent_bands, neighbors
 from skywindow.operators.sampling import stratum_seed
 from skywindow.schema import SPOT
 from skywindow.sources.indices import kp_of
@@ -57,11 +57,12 @@ def test_stratum_seed(spark):
     assert one(spark, stratum_seed(F.col("b"), F.col("d")), b="20m", d="2026-06-01") == 3021079974
 
 
-def test_neighbours():
+def test_neighbours(spark):
     assert adjacent_bands("160m") == ["80m"]
     assert adjacent_bands("20m") == ["30m", "17m"]
-    assert len(field_neighbors("FN")) == 8
-    assert field_neighbors("AA") == ["AB", "BA", "BB", "RA", "RB"]
+    around = neighbors(F.col("f"))
+    assert sorted(one(spark, around, f="FN")) == ["EM", "EN", "EO", "FM", "FO", "GM", "GN", "GO"]
+    assert sorted(one(spark, around, f="AA")) == ["AB", "BA", "BB", "RA", "RB"]
 
 
 def test_kp_of(spark):

@@ -11,8 +11,9 @@ from skywindow.operators.dedup import dedup_spots
 from skywindow.operators.evidence import receiver_uptime
 from skywindow.operators.features import HISTORY_COLUMNS, add_history, add_space_weather
 from skywindow.operators.labels import universe
-from skywindow.operators.p533 import KeyedScorer, card, parse_report
+from skywindow.operators.p533 import KeyedScorer, card, closed_form, cross_check, parse_report, sample_keys, with_keys
 from skywindow.operators.sampling import sample_labels
+from skywindow.plans import holdout
 
 T0 = dt.datetime(2024, 5, 1)
 SPOTS = "source string, ts timestamp, band string, mode string, dx_call string, de_call string, dx_grid string, de_grid string, snr_db short, tx_dbm short"
@@ -120,6 +121,10 @@ def test_gap_and_folds():
     f = acceptance.folds(T0, T0 + dt.timedelta(days=40), 10, 5, 48)
     assert f[0].eval_start - f[0].train_end == dt.timedelta(hours=48) and f[1].train_start == f[0].eval_start
     assert all(x.eval_end <= T0 + dt.timedelta(days=40) for x in f)
+    # by days: 10 of training and 2 between, so folds begin 12 days apart, and each needs 17
+    assert [(x.train_start - T0).days for x in f] == [0, 12]
+    assert len(acceptance.folds(T0, T0 + dt.timedelta(days=41), 10, 5, 48)) == 3
+    assert acceptance.folds(T0, T0 + dt.timedelta(days=16), 10, 5, 48) == []
 
 
 def test_enforce_gap(spark):
@@ -139,6 +144,65 @@ def test_acceptance_exits(spark):
     assert acceptance.cohort_digest(cohort).first() == acceptance.cohort_digest(cohort.repartition(3)).first()
 
 
+class Constant:
+    """A model that says the same of every cell, or what the cell was, blurred."""
+
+    def __init__(self, p=None):
+        self.p = p
+
+    def fit(self, df):
+        return self
+
+    def predict(self, df):
+        return df.withColumn("p_open", F.lit(self.p) if self.p is not None else F.when(F.col("open") == 1, 0.9).otherwise(0.1))
+
+
+def test_holdout_run(spark, tmp_path):
+    def loader(source, dx="K1A"):
+        def load(month):
+            first = dt.datetime.fromisoformat(f"{month}-10")
+            rows = [(source, first + dt.timedelta(minutes=15 * k), "20m", "FT8", dx, f"W{k % 3}B", "FN20", "DM14", 1, 20) for k in range(8)]
+            rows += [(source, first, "20m", "CW", "K9ZZ", "W5XY", "EM10", "DM14", 1, 20), (source, first, "40m", "FT8", "K9ZZ", "W5XY", "EM10", "DM14", 1, 20), (source, first - dt.timedelta(days=40), "20m", "FT8", "K7A", "W5XY", "EM10", "DM14", 1, 20)]
+            return spark.createDataFrame(rows, SPOTS)
+
+        return load
+
+    months = ["2024-03", "2024-04", "2024-05"]
+    hourly = spark.createDataFrame([(dt.datetime(2024, 3, 10) + dt.timedelta(hours=h), 2.0, 150.0, 1.0, 400.0, -5.0) for h in range(6)], "time timestamp, kp double, f107 double, bz_gsm double, solar_wind_speed double, dst double")
+    storm = spark.createDataFrame([(dt.datetime(2024, 4, 10), 6.0), (dt.datetime(2024, 4, 11), 9.0)], "block_start timestamp, kp double")
+    public = {"rbn": loader("rbn"), "wsprnet": loader("wsprnet", "K2C")}
+    models = {"gbt": Constant, "climatology": lambda: Constant(0.5)}
+    code, report = holdout.holdout_run(public, ["2024-01"], months, "20m", hourly, storm, models, "gbt", loader("cqdx", "K3D"), str(tmp_path / "report"))
+    assert code == 0 and report["storm"] == {"block_start": "2024-04-10T00:00:00", "kp": 6.0} and report["spots"]["private"] > 0 and set(report["arms"]) == {"gbt", "climatology", "augmented"}
+    assert '"exit": 0' in "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert holdout.holdout_run(public, ["2024-01"], months, "20m", hourly, storm, models, "climatology")[0] == 1
+    none = {**public, "pskreporter": lambda m: spark.createDataFrame([], SPOTS)}
+    code, report = holdout.holdout_run(none, ["2024-01"], months, "20m", hourly, storm, models, "gbt")
+    assert code == 2 and "pskreporter" in report["reason"]
+    for train, held in ((["2024-01"], months[:2]), (["2024-03"], months), (["2024-01"], [months[0], *months[:2]])):
+        with pytest.raises(holdout.Unusable):
+            holdout.holdout_run(public, train, held, "20m", hourly, storm, models, "gbt")
+    with pytest.raises(holdout.Unusable, match="storm"):
+        holdout.holdout_run(public, ["2024-01"], months, "20m", hourly, storm.where("kp < 5"), models, "gbt")
+
+
+def test_headline_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.8), (0, 0.4)], "open int, p_open double")
+    for model in ("a", "b"):
+        acceptance.append_headline(rows, model, str(tmp_path / "table"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "table")).collect()
+    assert sorted((r.model, r.brier, r.log_loss, r.n) for r in got) == [("a", "0.100000", "0.366985", "2"), ("b", "0.100000", "0.366985", "2")]
+
+
+def test_cross_check(spark, tmp_path):
+    ssn = spark.createDataFrame([("2024-05", 140.5)], "month string, ssn double")
+    cells = spark.createDataFrame([(at(h), "FN", f, b, 1, None, 1) for h in range(4) for f in ("DM", "EM") for b in ("20m", "6m")], CELLS)
+    keys = sample_keys(with_keys(cells, ssn), 10, 7)
+    assert keys.collect() == sample_keys(with_keys(cells.repartition(3), ssn), 10, 7).collect() and keys.distinct().count() == 10
+    done, failed = cross_check(KeyedScorer(closed_form, ssn), keys, str(tmp_path / "csv"))
+    assert done + failed == 10 and failed == keys.where("band = '6m'").count()
+
+
 def test_storm_tags(spark):
     blocks = spark.createDataFrame([(at(0), 5.0), (at(3), 2.0)], "block_start timestamp, kp double")
     cells = spark.createDataFrame([(at(h), "FN", "DM", "20m", 1, None, 1) for h in (2, 3, 9)], CELLS)
