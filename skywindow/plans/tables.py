@@ -5,17 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and rereads it, so that branches share one computation and lost
-    executors cost nothing but a reread. Where the setting is unset (tests), a temporary folder takes its place."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder takes its place on a local master (tests); on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="skywindow-stage-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="skywindow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and rereads it, so that branches share one computation and lost executors cost
+    nothing but a reread."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -43,12 +43,12 @@ SPOT = T.StructType(
 CELL = ["window_start", "tx_field", "rx_field", "band"]
 
 
-def as_spots(df: DataFrame) -> DataFrame:
-    """The spot columns in order and type: missing ones null, others dropped, band lower and mode upper case."""
+def as_spots(df: DataFrame, *more: str) -> DataFrame:
+    """The spot columns in order and type, and ``more``: missing ones null, others dropped, band lower and mode upper case."""
     have = set(df.columns)
     cols = {f.name: (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType) for f in SPOT.fields}
     cols["band"], cols["mode"] = F.lower(cols["band"]), F.upper(cols["mode"])
-    return df.select(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*[c.alias(n) for n, c in cols.items()], *more)
 
 
 def union_spots(*frames: DataFrame) -> DataFrame:

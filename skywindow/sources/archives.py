@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -97,12 +98,14 @@ def place_calls(rows: DataFrame, prefixes: DataFrame, call: str, lat: str, lon:
     return rows.join(best, rows[call] == best["_call"], "left").select(*rows.columns, F.col("_p._lat").alias(lat), F.col("_p._lon").alias(lon))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str | list[str], file_col: str | None = None) -> DataFrame:
     """Newline JSON archives, plain or gzipped. A corrupt gzip fails the read; a malformed line gets a parse error.
 
-    Hygiene judges the grids as they came; then places come from grids, or grids from places.
+    Hygiene judges the grids as they came; then places come from grids, or grids from places. ``file_col`` names a column
+    for the path of each record's file.
     """
     raw = spark.read.schema(ARCHIVE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    file = [F.col("_metadata.file_path").alias(file_col)] if file_col else []
     lat = lambda c: valid_or_null(F.col(c), 90.0)
     lon = lambda c: valid_or_null(F.col(c), 180.0)
     base = raw.select(
@@ -110,7 +113,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.nullif(F.lower(F.trim("band")), F.lit("")).alias("band"), _upper(F.col("mode")).alias("mode"), _int(F.col("frequency")).alias("freq_hz"),
         *[_upper(F.col(f"{s}Call")).alias(f"{s}_call") for s in ("dx", "de")], *[_upper(F.col(f"{s}Grid")).alias(f"{s}_grid") for s in ("dx", "de")],
         *[F.when(lon(f"{s}Lon").isNotNull(), lat(f"{s}Lat")).alias(f"{s}_lat") for s in ("dx", "de")], *[F.when(lat(f"{s}Lat").isNotNull(), lon(f"{s}Lon")).alias(f"{s}_lon") for s in ("dx", "de")],
-        _int(F.col("snr")).alias("snr_db"), F.lit(None).cast("short").alias("tx_dbm"), F.col("_corrupt"),
+        _int(F.col("snr")).alias("snr_db"), F.lit(None).cast("short").alias("tx_dbm"), F.col("_corrupt"), *file,
     )
     error = F.when(F.col("_corrupt").isNotNull(), "malformed_json").when(~F.coalesce(F.col("payload_source"), F.lit("")).isin(*AUTOMATIC_SOURCES), "non_automatic_source").when(F.col("ts").isNull(), "invalid_timestamp")
     judged = judge(base).withColumn("parse_error", F.coalesce(error, F.col("reject_reason"))).drop("reject_reason")
@@ -132,11 +135,36 @@ def requested_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.when(F.lit(start) < F.lit(end), F.expr(f"sequence(date'{start}', date'{end}' - 1)")).otherwise(F.array().cast("array<date>"))).alias("day"))
 
 
-def load_month(spark: SparkSession, root: str, month: str, source: str, bands: Iterable[str] | None = None) -> DataFrame:
-    """Hourly Parquet files of one month of one source; a row of another source is an error."""
+def month_bounds(month: str) -> tuple[Column, Column]:
+    """First moment of the month and of the next one."""
+    if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", month):
+        raise ValueError(f"not a month: {month}")
     first = F.lit(f"{month}-01").cast("timestamp")
-    rows = as_spots(spark.read.parquet(root)).where((F.col("ts") >= first) & (F.col("ts") < F.add_months(first, 1).cast("timestamp")))
-    if bands is not None:
-        rows = rows.where(F.col("band").isin(*bands))
-    checked = F.when(F.col("source") == source, F.col("source")).otherwise(F.raise_error(F.concat(F.lit(f"a row that is not of {source}: "), F.coalesce("source", F.lit("null")))))
-    return rows.withColumn("source", checked)
+    return first, F.add_months(first, 1).cast("timestamp")
+
+
+def load_month(spark: SparkSession, root: str, month: str, source: str, bands: Iterable[str] | None = None, by_file_name: bool = False) -> DataFrame:
+    """Hourly Parquet files of one month of one source; a row of another source is an error, whatever is read of the rows.
+
+    With ``by_file_name`` only files are read whose name holds a date of the month (``YYYY-MM-DD``, as the hourly store
+    writes it); a folder without any is an error, as is a file without the columns that a spot must have.
+    """
+    first, following = month_bounds(month)
+    files = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    if missing := {"source", "ts", "band", "mode", "dx_call", "de_call"} - set(files.columns):
+        raise ValueError(f"{root} lacks {', '.join(sorted(missing))}")
+    if by_file_name:
+        files = files.where(F.col("_metadata.file_path").rlike(rf"{month}-\d\d[^/]*(/[^/]*)?$"))
+        if files.isEmpty():
+            raise ValueError(f"{root} has no file of {month}")
+    # a filter that raises can't be pruned away, as a column could
+    other = F.concat(F.lit(f"a row that is not of {source}: "), F.coalesce(F.col("source"), F.lit("null")))
+    rows = as_spots(files.where(F.when(F.col("source") == source, F.lit(True)).otherwise(F.raise_error(other).cast("boolean"))))
+    rows = rows.where((F.col("ts") >= first) & (F.col("ts") < following))
+    return rows if bands is None else rows.where(F.col("band").isin(*bands))
+
+
+def read_rbn_month(spark: SparkSession, root: str, month: str, prefixes: DataFrame, bands: Iterable[str] | None = None) -> DataFrame:
+    """All daily archives ``YYYYMMDD.zip`` of a month that are there; days without one are skipped."""
+    month_bounds(month)
+    return read_rbn(spark, f"{root}/{month.replace('-', '')}[0-3][0-9].zip", prefixes, bands)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, root: str, table: str, by: list[str], mode: str = "append") -> None:
-    """Appends by partition; rows of a partition are brought together first, so each gets few files."""
-    df.repartition(*by).write.mode(mode).partitionBy(*by).option("compression", "zstd").parquet(f"{root}/{table}")
+    """Appends by partition. Rows of a partition are brought together first, so that each gets few files; a large one is
+    dealt to several tasks by its measured size."""
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).option("compression", "zstd").parquet(f"{root}/{table}")
 
 
 def write_labels(labels: DataFrame, root: str) -> None:

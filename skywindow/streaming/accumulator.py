@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +64,7 @@ class HourlyStore:
             best = dedup_spots(merged).select(*merged.columns)
             # the hours are read and overwritten: the result is materialised before the write replaces its input
             best = best.checkpoint() if old is not None else best
-            best.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(self.path)
+            best.hint("rebalance", F.col("hour")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(self.path)
         finally:
             spots.unpersist()
 
@@ -109,12 +112,18 @@ class MqttSource(DataSource):
 
 
 class MqttReader(SimpleDataSourceStreamReader):
+    """Counts messages from the offset that the query begins or goes on with; what arrives waits until it is committed.
+
+    A broker doesn't repeat messages: those of a batch that was planned before a restart are only there if Spark has them.
+    """
+
     def __init__(self, options: dict, client_factory: Callable | None = None):
         self.topics = [topic(b) for b in options.get("bands", "").split(",") if b]
         self.host, self.port = options.get("host", "localhost"), int(options.get("port", 1883))
         self.make = client_factory
-        self.seen: list[str] = []
-        self.base = 0
+        self.waiting: deque[str] = deque()
+        self.begin: int | None = None  # the offset of the first message that waits
+        self.lock = threading.Lock()
         self.client = None
 
     def _connect(self) -> None:
@@ -126,23 +135,35 @@ class MqttReader(SimpleDataSourceStreamReader):
             self.make = Client
         client = self.make()
         client.on_connect = lambda c, *_: [c.subscribe(t) for t in self.topics]  # again on every reconnect
-        client.on_message = lambda c, u, m: self.seen.append(m.payload.decode("utf-8", "replace"))
+        client.on_message = self._receive
         client.connect(self.host, self.port)
         client.loop_start()
         self.client = client
 
+    def _receive(self, client, userdata, message) -> None:
+        with self.lock:
+            self.waiting.append(message.payload.decode("utf-8", "replace"))
+
+    def _between(self, start: int, end: int | None) -> list[str]:
+        with self.lock:
+            if self.begin is None:
+                self.begin = start if end is None else end
+            return list(islice(self.waiting, max(0, start - self.begin), None if end is None else max(0, end - self.begin)))
+
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         self._connect()
-        got = self.seen[start["n"] - self.base :]
+        got = self._between(start["n"], None)
         return iter([(x,) for x in got]), {"n": start["n"] + len(got)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self.seen[start["n"] - self.base : end["n"] - self.base]])
+        return iter([(x,) for x in self._between(start["n"], end["n"])])
 
     def commit(self, end: dict) -> None:
         """What is committed is forgotten."""
-        self.seen = self.seen[end["n"] - self.base :]
-        self.base = end["n"]
+        with self.lock:
+            while self.begin is not None and self.begin < end["n"] and self.waiting:
+                self.waiting.popleft()
+                self.begin += 1
