@@ -19,7 +19,7 @@ from .operators.labels import labels as build_labels
 from .operators.labels import universe as build_universe
 from .operators.labels import unlabeled_fraction as build_unlabeled
 from .plans.nowcast import prediction_surface as surface
-from .plans.tables import staged
+from .plans.tables import scratch, shared_folder, staged
 from .queries_sql import SQL
 from .schema import CELL
 
@@ -269,7 +269,7 @@ def kp_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def storm_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = metrics.tag_storms(_predicted(spark, sf_dir), kp_blocks(spark, sf_dir).where("kp < 8.5"))
+    tagged = metrics.tag_storms(_predicted(spark, sf_dir), kp_blocks(spark, sf_dir))
     return rounded(metrics.slice_scores(tagged, F.lit("climatology").alias("model")))
 
 
@@ -384,20 +384,12 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.lake import write_table
 
     spots = clean(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    root = _scratch(spark)
+    root = scratch(spark)
     write_table(spots, root, "spots", ["band", "date"])
     back = spark.read.parquet(f"{root}/spots")
     return back.groupBy("band", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.countDistinct("dx_call").alias("n_calls"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skywindow-")
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 @query
 def stream_hourly_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots as JSON payloads through the streaming accumulator in several micro-batches, late hours included."""
@@ -405,11 +397,11 @@ def stream_hourly_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = adapter.spots(spark, sf_dir)
     fields = {"f": F.lit("14074000"), "md": F.col("mode"), "rp": F.col("snr_db").cast("string"), "t": F.unix_seconds("ts").cast("string"), "sc": F.col("dx_call"), "sl": F.col("dx_grid"), "rc": F.col("de_call"), "rl": F.col("de_grid"), "b": F.col("band")}
-    root = _scratch(spark)
+    root = scratch(spark)
     s.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value")).repartition(4).write.text(f"{root}/in")
     store = HourlyStore(spark, f"{root}/store")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{root}/checkpoint")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     q = accumulate(spark.readStream.option("maxFilesPerTrigger", 2).text(f"{root}/in"), store, f"{root}/progress")
     q.awaitTermination()
     back = store.read()
@@ -429,16 +421,17 @@ def gbt_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tree.unionByName(metrics.scores(Climatology().fit(train).predict(late), F.lit("climatology").alias("model"))))
 
 
-def _distance_scorer(keys):
-    """A stand-in engine: reliability falls with distance from the band's best hour and with latitude."""
-    return [None if b == "6m" else max(0.0, 100.0 - 4.0 * abs(h - 14) - abs(lat)) for b, h, lat in zip(keys["band"], keys["hour"], keys["rx_lat"], strict=True)]
-
-
 @query
 def p533_keyed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed scorer with its cache: every distinct key is scored once, then joined to all rows."""
     ssn = spark.range(1).select(F.lit("2024-05").alias("month"), F.lit(140.5).alias("ssn"))
-    model = p533.KeyedScorer(_distance_scorer, ssn, f"{_scratch(spark)}/scores")
+    model = p533.KeyedScorer(p533.closed_form, ssn, scratch(spark, "scores"))
     out = model.predict(labels_of(spark, sf_dir))
     return rounded(out.groupBy("band").agg(F.count("*").alias("n"), F.count("p_open").alias("n_scored"), F.avg("p_open").alias("mean_p")))
 
+
+@query
+def storm_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest three-hour block among those that hold evaluation rows."""
+    _, late = split(labels_of(spark, sf_dir))
+    return rounded(seconds(metrics.storm_block(late, kp_blocks(spark, sf_dir))))

@@ -4,7 +4,7 @@ spread windows, ASOF joins for slots, QUALIFY for ranks."""
 from __future__ import annotations
 
 from .adapter import EPOCH, HOURLY_SQL, SPOTS_SQL
-from .schema import BAND_GROUPS, BANDS, CALLSIGN, CW_MODES, DIGITAL_MODES, EARTH_KM, FT8_LEVEL_MODES, GEOMAG_POLE
+from .schema import BAND_GROUPS, BANDS, CALLSIGN, CW_MODES, DIAL_MHZ, DIGITAL_MODES, EARTH_KM, FT8_LEVEL_MODES, GEOMAG_POLE
 
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 TRAIN_END, EVAL_START = "TIMESTAMP '2024-05-02 00:00:00'", "TIMESTAMP '2024-05-04 00:00:00'"
@@ -187,6 +187,48 @@ def yesterday(horizon_s: int) -> str:
     return f", (SELECT l.open FROM lab l WHERE l.w = agg.w - to_seconds({86400 + horizon_s}) AND l.tx_field = agg.tx_field AND l.rx_field = agg.rx_field AND l.band = agg.band) AS same_hour_yesterday_open"
 
 
+RELATIONS = {
+    "same_cell": ("tx_field AS tx, rx_field AS rx, band AS b FROM lab", "hist", "h.tx_field = a.tx AND h.rx_field = a.rx AND h.band = a.b"),
+    "reverse_path": ("rx_field AS tx, tx_field AS rx, band AS b FROM lab", "hist", "h.tx_field = a.tx AND h.rx_field = a.rx AND h.band = a.b"),
+    "adjacent_band": ("tx_field AS tx, rx_field AS rx, other AS b FROM lab JOIN bandmap USING (band)", "hist", "h.tx_field = a.tx AND h.rx_field = a.rx AND h.band = a.b"),
+    "adjacent_cell": ("tx_field AS tx, other AS rx, band AS b FROM lab JOIN near USING (rx_field)", "hist", "h.tx_field = a.tx AND h.rx_field = a.rx AND h.band = a.b"),
+    "band_wide": ("band AS b FROM lab", "(SELECT w, band, sum(n_spots) AS n, sum(n_spots) * coalesce(avg(snr), 0) AS num, CASE WHEN avg(snr) IS NOT NULL THEN sum(n_spots) ELSE 0 END AS den FROM lab GROUP BY w, band)", "h.band = a.b"),
+}
+
+
+def matrix(horizon_s: int) -> str:
+    """All features of the evaluation rows, by range joins; then count, known values and mean of each."""
+    parts, cols, joins = [], [], []
+    for relation, (anchors, source, keys) in RELATIONS.items():
+        sums = ", ".join(
+            f"CAST(coalesce(sum(h.n) FILTER (WHERE h.w >= a.t - INTERVAL {lb}), 0) AS DOUBLE) AS {relation}_n_{k}, sum(h.num) FILTER (WHERE h.w >= a.t - INTERVAL {lb}) / nullif(sum(h.den) FILTER (WHERE h.w >= a.t - INTERVAL {lb}), 0) AS {relation}_snr_{k}"
+            for k, lb in (("1h", "1 HOUR"), ("3h", "3 HOUR"), ("24h", "24 HOUR"))
+        )
+        parts.append(f"anc_{relation} AS (SELECT w, tx_field, rx_field, band, w - to_seconds({horizon_s}) AS t, {anchors} WHERE w >= {EVAL_START})")
+        parts.append(f"agg_{relation} AS (SELECT a.w, a.tx_field, a.rx_field, a.band, 0.0::DOUBLE AS {relation}_n_15m, CAST(NULL AS DOUBLE) AS {relation}_snr_15m, {sums} FROM anc_{relation} a LEFT JOIN {source} h ON {keys} AND h.w >= a.t - INTERVAL 24 HOUR AND h.w <= a.t - INTERVAL 20 MINUTE GROUP BY a.w, a.tx_field, a.rx_field, a.band)")
+        joins.append(f"LEFT JOIN agg_{relation} USING (w, tx_field, rx_field, band)")
+        cols += [f"{relation}_{c}_{lb}" for c in ("n", "snr") for lb in ("15m", "1h", "3h", "24h")]
+    named = {
+        "hour_sin": "sin(2 * pi() * hour(w) / 24)", "hour_cos": "cos(2 * pi() * hour(w) / 24)", "doy_sin": "sin(2 * pi() * dayofyear(w) / 365)", "doy_cos": "cos(2 * pi() * dayofyear(w) / 365)", "month": "month(w)",
+        "band_ordinal": f"list_position([{_list(BANDS)}], band) - 1", "distance_km": "d", "bearing_deg": "brg", "midpoint_lat": "geo.mlat", "midpoint_lon": "geo.mlon", "tx_control_lat": "geo.xlat", "tx_control_lon": "geo.xlon",
+        "rx_control_lat": "geo.rlat", "rx_control_lon": "geo.rlon", "tx_geomag_lat": dipole("a", "b"), "rx_geomag_lat": dipole("c", "e"), "midpoint_geomag_lat": dipole("geo.mlat", "geo.mlon"),
+        "midpoint_solar_zenith": "mz", "tx_control_solar_zenith": "xz", "rx_control_solar_zenith": "rz", "path_daylight_fraction": "((mz < 90)::INT + (xz < 90)::INT + (rz < 90)::INT) / 3.0::DOUBLE", "midpoint_hours_since_terminator": "hrs",
+        **{c: c for c in (*SPACE_COLUMNS, *cols)}, "same_hour_yesterday_open": "y.open",
+    }
+    body = (
+        f"m AS MATERIALIZED (SELECT {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in named.items())} FROM (SELECT * FROM lab WHERE w >= {EVAL_START}) late JOIN geo USING (tx_field, rx_field) JOIN sun USING (w, tx_field, rx_field)"
+        f" JOIN edge ON sun.t = edge.t AND sun.mlat = edge.mlat AND sun.mlon = edge.mlon JOIN space USING (w) {' '.join(joins)}"
+        f" LEFT JOIN (SELECT w + to_seconds({86400 + horizon_s}) AS w, tx_field, rx_field, band, open FROM lab) y USING (w, tx_field, rx_field, band))"
+    )
+    each = " UNION ALL ".join(f"SELECT '{k}' AS feature, count(*) AS n, count({k}) AS n_known, round(avg({k}), 6) + 0.0 AS mean FROM m" for k in named)
+    return upto(*TO_LABELS, GEO, SUN, EDGE, space(horizon_s), NEIGHBORS, HIST, *parts, body) + each
+
+
+LIVE = """
+live AS (SELECT 'pskreporter' AS source, ts, lower(trim(band)) AS band, upper(trim(mode)) AS mode, upper(trim(dx_call)) AS dx_call, upper(trim(de_call)) AS de_call, dx_grid, de_grid, NULL::DOUBLE AS dx_lat, NULL::DOUBLE AS dx_lon,
+  NULL::DOUBLE AS de_lat, NULL::DOUBLE AS de_lon, snr_db, NULL AS tx_dbm FROM spots WHERE ts IS NOT NULL AND snr_db IS NOT NULL AND coalesce(dx_call, '') <> '' AND coalesce(de_call, '') <> '' AND coalesce(mode, '') <> '' AND coalesce(band, '') <> '')"""
+_mhz = "CASE band " + " ".join(f"WHEN '{b}' THEN {f}::DOUBLE" for b, f in DIAL_MHZ.items()) + " END"
+
 CLIM = f"""
 train AS (SELECT *, hour(w) AS hr FROM lab WHERE w < {TRAIN_END}), late AS (SELECT *, hour(w) AS hr FROM lab WHERE w >= {EVAL_START}),
 rate AS (SELECT tx_field, rx_field, band, hr, CAST(sum(open) AS DOUBLE) / count(*) AS p, count(*) AS n FROM train GROUP BY ALL),
@@ -251,7 +293,7 @@ WHERE open = 1 OR r <= k""",
     + "SELECT round(sum(pos * CAST(tp AS DOUBLE) / al) / sum(pos), 6) AS average_precision, CAST(sum(pos) AS BIGINT) AS n_pos FROM (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS al FROM (SELECT p, sum(open) AS pos, count(*) AS n FROM pred GROUP BY p))",
     "storm_slices": upto(*TO_PRED, HOURLY_SQL)
     + f"""SELECT 'climatology' AS model, slice, {SCORE} FROM (SELECT pred.*, coalesce(kp >= 5, false) AS storm, unnest(['overall', CASE WHEN coalesce(kp >= 5, false) THEN 'storm' ELSE 'quiet' END]) AS slice FROM pred
-LEFT JOIN (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM hourly WHERE kp IS NOT NULL GROUP BY 1 HAVING max(kp) < 8.5) k ON k.b = time_bucket(INTERVAL 3 HOUR, w)) GROUP BY slice""",
+LEFT JOIN (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM hourly WHERE kp IS NOT NULL GROUP BY 1) k ON k.b = time_bucket(INTERVAL 3 HOUR, w)) GROUP BY slice""",
     "band_group_slices": upto(*TO_PRED) + f"SELECT CASE {' '.join(f'WHEN band IN ({_list(bs)}) THEN {chr(39)}{g}{chr(39)}' for g, bs in BAND_GROUPS.items())} END AS band_group, {SCORE} FROM pred GROUP BY 1",
     "storm_periods": upto(*TO_LABELS)
     + "SELECT CASE WHEN w < TIMESTAMP '2024-05-02 06:00:00' THEN 'before' WHEN w < TIMESTAMP '2024-05-03 00:00:00' THEN 'during' ELSE 'after' END AS period, band, count(*) AS n, round(avg(open), 6) AS open_rate FROM lab WHERE w >= TIMESTAMP '2024-05-01 06:00:00' AND w < TIMESTAMP '2024-05-04 00:00:00' GROUP BY 1, 2",
@@ -281,4 +323,16 @@ LEFT JOIN (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM ho
     + f"""SELECT tx_field, rx_field, band, string_agg(CAST(CAST(round(coalesce(rt.p, ov.p) * 100) AS INT) AS VARCHAR), ',' ORDER BY h) AS p_open_pct, CASE WHEN max(n_monitors) >= 4 THEN 'high' WHEN max(n_monitors) >= 1 THEN 'medium' ELSE 'low' END AS confidence
 FROM (SELECT l.*, h, (hour(w) + h) % 24 AS hr FROM lab l, (SELECT unnest([0, 1, 3]) AS h) WHERE w = {EVAL_START}) x LEFT JOIN rt USING (tx_field, rx_field, band, hr) CROSS JOIN ov GROUP BY 1, 2, 3""",
     "lake_roundtrip": upto(JUDGED, CLEAN) + "SELECT band, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, count(DISTINCT dx_call) AS n_calls FROM clean GROUP BY 1, 2",
+    "feature_matrix": matrix(10800),
+    "stream_hourly_upsert": upto(LIVE, JUDGED.replace("FROM spots", "FROM live"))
+    + "SELECT CAST(epoch(date_trunc('hour', w)) AS BIGINT) AS hour, count(*) AS n, CAST(sum(s) AS BIGINT) AS snr_sum FROM (SELECT dx_call, de_call, band, mode, time_bucket(INTERVAL 15 MINUTE, ts) AS w, max(snr_db) AS s FROM good GROUP BY ALL) GROUP BY 1",
+    "p533_keyed_score": upto(*TO_LABELS, GEO)
+    + f"""SELECT band, count(*) AS n, count(p) AS n_scored, round(avg(p), 6) AS mean_p FROM (
+  SELECT band, (CASE WHEN mg >= 0 THEN least(130 - 80 / (1 + mg / sqrt(128.0::DOUBLE)), 100) ELSE greatest(80 / (1 - mg / sqrt(89.0::DOUBLE)) - 30, 0) END) / 100 AS p FROM (
+    SELECT band, 20 - (32.45::DOUBLE + 20 * log10(greatest(d, 1) * f) + 40 * greatest(0, cos(2 * pi() * (hour(w) - 12) / 24)) * pow(7 / f, 2))
+      - 10 * log10(pow(10, (52 - 23 * log10(f)) / 10) + pow(10, (67.2::DOUBLE - 27.7::DOUBLE * log10(f)) / 10) + pow(10, (40 - f + 7) / 10)) - 10 * log10(2500) + 204 - 20 AS mg
+    FROM (SELECT *, {_mhz} AS f FROM lab JOIN geo USING (tx_field, rx_field)) WHERE f BETWEEN 1 AND 30)) GROUP BY band""",
+    "storm_block": upto(*TO_LABELS, HOURLY_SQL)
+    + f"""SELECT CAST(epoch(b) AS BIGINT) AS block_s, round(kp, 6) AS kp FROM (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM hourly WHERE kp IS NOT NULL GROUP BY 1)
+WHERE kp >= 5 AND b IN (SELECT time_bucket(INTERVAL 3 HOUR, w) FROM lab WHERE w >= {EVAL_START}) ORDER BY kp DESC, b LIMIT 1""",
 }
