@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,28 +10,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import scratch
+
 TAG = "__tag"
 #: Text bytes that a task turns into numpy arrays at a time; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="skywindow-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def stash(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and reread it: cuts lineage, survives lost executors."""
     spark = spark or df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    path = scratch(spark, "stash")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(*tables: DataFrame) -> None:
+    """Deletes tables of ``stash`` that nothing reads any more: whatever was made of them must be stored itself."""
+    for table in tables:
+        jvm, files = table.sparkSession._jvm, table.inputFiles()
+        folders = {f.rsplit("/", 1)[0] for f in files}
+        for folder in folders:
+            if folder.rsplit("/", 1)[1].startswith("stash-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def tagged(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The used columns under fixed names plus a row tag, so that null or repeated ids and clashing extra columns do no harm.
 
@@ -57,7 +59,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy runs of rows with about ``limit`` bytes of text each, which bounds the memory of what is derived."""
     size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     group = (np.cumsum(size) - size) // limit
@@ -67,7 +69,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             yield batch.slice(a, b - a)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, column, limit)
 
