@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TAG, sliced, stash, tagged
-from .graph import components, leader_pairs
+from .common import SLICE_BYTES, TAG, sliced, stash, tagged
+from .graph import components, contracted, leader_pairs, relabelled
 from .textvec import U, Words, mix, shingle_counts
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -30,6 +30,12 @@ SMALL, LEADERS, GROWTH = 12, 3, 16
 #: A candidate pair is verified if so many of its registers agree (by one byte each): a pair of similarity 0.8 has 96 of
 #: 120 on average and misses this with probability 0.003; verification itself is exact.
 LEAST_AGREE = 84
+#: Texts that are still open after the first round get a finer sketch of so many registers; a pair of similarity 0.8 agrees in
+#: 384 on average and misses the least with probability 0.003.
+FINE, LEAST_FINE = 480, 360
+
+
+CARRIED = ("band", "bands", "marks", "n_shingles", "plain", "own", "fine", "part")
 
 
 def _exponential(key: np.ndarray, seed: int) -> np.ndarray:
@@ -97,7 +103,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, sh, count = shingle_counts(*w.shingles(SHINGLE))
         reg = registers(doc, sh, count, b.num_rows)
         keys = band_keys(reg)
-        marks = (mix(reg, 21) & U(0xFF)).astype(np.uint8).reshape(b.num_rows, -1).view(np.int64).reshape(-1)
+        marks = _marks(reg).reshape(-1)
         at = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.count)
         sums = []
         for seed in (1, 2):
@@ -105,21 +111,62 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(mix(whole[w.first[1:]] - whole[w.first[:-1]] + w.count.astype(U), seed).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
         mark_lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (REGISTERS // 8)), pa.array(marks))
-        yield pa.RecordBatch.from_arrays([b.column(TAG), b.column("doc_id"), pa.array(w.count), pa.array(sums[0]), pa.array(sums[1]), lists, mark_lists], [TAG, "doc_id", "n_words", "h1", "h2", "bands", "marks"])
+        kinds, total = np.bincount(doc, minlength=b.num_rows), np.bincount(doc, count, b.num_rows)
+        cols = [b.column(TAG), b.column("doc_id"), pa.array(w.count), pa.array(sums[0]), pa.array(sums[1]), lists, mark_lists, pa.array(kinds), pa.array(kinds == total)]
+        yield pa.RecordBatch.from_arrays(cols, [TAG, "doc_id", "n_words", "h1", "h2", "bands", "marks", "n_shingles", "plain"])
+
+
+def _marks(reg: np.ndarray) -> np.ndarray:
+    """A byte for each register, eight to a number."""
+    return (mix(reg, 21) & U(0xFF)).astype(np.uint8).view(np.int64)
+
+
+def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text."""
+    for b in sliced(batches):
+        doc, sh, _ = shingle_counts(*Words(b.column("text")).shingles(SHINGLE))
+        yield pa.RecordBatch.from_arrays([b.column("t").take(pa.array(doc)), pa.array(sh.view(np.int64))], ["a", "sh"])
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A finer sketch of each text."""
+    for b in sliced(batches, limit=SLICE_BYTES >> 2):
+        marks = _marks(registers(*shingle_counts(*Words(b.column("text")).shingles(SHINGLE)), b.num_rows, FINE))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (FINE // 8)), pa.array(marks.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([b.column("t"), lists], ["a", "_fine"])
+
+
+def sharpened(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The open rows with ``fine``, a finer sketch, and ``own``: how many shingles their text has that no other open text has."""
+    open_texts = rows.select(F.col("a").alias("t")).distinct()
+    texts = stash(texts.join(open_texts.hint("merge"), "t", "left_semi"))
+    own = texts.mapInArrow(_shingles, "a long, sh long").groupBy("sh").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1").groupBy("a").agg(F.count("*").alias("_own"))
+    more = texts.mapInArrow(_sketch, "a long, _fine array<long>").join(own, "a", "left")
+    return rows.drop("own", "fine").join(more, "a").withColumns({"own": F.coalesce("_own", F.lit(0)).cast("long"), "fine": F.col("_fine")}).drop("_own", "_fine")
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """How many of the eight bytes of two numbers differ."""
+    z = x.bitwiseXOR(y)
+    for shift in (4, 2, 1):  # a byte that is not 0 ends with its last bit set
+        z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def likely() -> Column:
-    """Not yet in one component, enough registers agree, and this bucket is the first that the two share: a pair comes up once."""
-    differ = F.lit(0)
-    for i in range(REGISTERS // 8):
-        x = F.col("marks")[i].bitwiseXOR(F.col("marks_b")[i])
-        for shift in (4, 2, 1):  # a byte that is not 0 ends with its last bit set
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    """Not yet in one component, enough registers agree, and this bucket is the first that the two share: a pair comes up once.
+
+    Pairs go that can't be similar whatever their texts: what both may have in common is what neither has alone. The bound
+    holds for texts that repeat no shingle.
+    """
+    differ = sum((_differing(F.col("marks")[i], F.col("marks_b")[i]) for i in range(1, REGISTERS // 8)), _differing(F.col("marks")[0], F.col("marks_b")[0]))
+    finer = F.aggregate(F.zip_with("fine", "fine_b", _differing), F.lit(0), lambda total, n: total + n)
     first = F.lit(BANDS)
     for i in reversed(range(BANDS)):
         first = F.when(F.col("bands")[i] == F.col("bands_b")[i], i).otherwise(first)
-    return (F.col("part") != F.col("part_b")) & (differ <= REGISTERS - LEAST_AGREE) & (first == F.col("band"))
+    common = F.least(F.col("n_shingles") - F.col("own"), F.col("n_shingles_b") - F.col("own_b"))
+    possible = ~F.col("plain") | ~F.col("plain_b") | (common >= SIMILAR * (F.col("n_shingles") + F.col("n_shingles_b") - common) - 1e-6)
+    return (F.col("part") != F.col("part_b")) & possible & (differ <= REGISTERS - LEAST_AGREE) & (first == F.col("band")) & (F.col("fine").isNull() | (finer <= FINE - LEAST_FINE))
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -152,7 +199,8 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, "text_a", 1 << 19):
         for c in sliced([b], "text_b", 1 << 19):
             s = similarities(c.column("text_a"), c.column("text_b"))
-            yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(s >= SIMILAR - 1e-9)], ["a", "b", "similar"])
+            ids = ["a", "b", "part", "part_b"]
+            yield pa.RecordBatch.from_arrays([*(c.column(x) for x in ids), pa.array(s >= SIMILAR - 1e-9)], [*ids, "similar"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,33 +212,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = tagged(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = stash(rows.mapInArrow(_sign, f"{TAG} long, doc_id {id_type}, n_words long, h1 long, h2 long, bands array<long>, marks array<long>"))
+    signed = stash(rows.mapInArrow(_sign, f"{TAG} long, doc_id {id_type}, n_words long, h1 long, h2 long, bands array<long>, marks array<long>, n_shingles long, plain boolean"))
     equal = signed.where("n_words > 0").groupBy("h1", "h2").agg(F.min(TAG).alias("rep"))
-    member = signed.join(equal, ["h1", "h2"], "left").select(TAG, "doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col(TAG)).alias("rep"), F.when((F.col("n_words") > 0) & (F.col("rep") == F.col(TAG)), F.col("bands")).alias("bands"), "marks")
+    member = signed.join(equal, ["h1", "h2"], "left").select(TAG, "doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col(TAG)).alias("rep"), F.when((F.col("n_words") > 0) & (F.col("rep") == F.col(TAG)), F.col("bands")).alias("bands"), "marks", "n_shingles", "plain")
     member = stash(member)
     keyed = member.where("bands is not null").select(F.posexplode("bands").alias("band", "key"), F.col(TAG).alias("a"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_rows = keyed.join(shared, "key").join(member.where("bands is not null").select(F.col(TAG).alias("a"), "bands", "marks"), "a")
-    open_rows = stash(open_rows.withColumn("part", F.col("a")))
+    open_rows = keyed.join(shared, "key").join(member.where("bands is not null").select(F.col(TAG).alias("a"), "bands", "marks", "n_shingles", "plain"), "a")
+    open_rows = stash(open_rows.withColumns({"part": F.col("a"), "own": F.lit(0).cast("long"), "fine": F.lit(None).cast("array<long>")}))
     wanted = open_rows.select(F.col("a").alias("t")).distinct()
     texts = stash(rows.select(F.col(TAG).alias("t"), "text").join(wanted.hint("merge"), "t", "left_semi"))
-    tested, size = None, 1
+    tested, labels, size = None, None, 1
     while True:
-        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size, ("band", "bands", "marks", "part"), likely)
-        size *= GROWTH
-        fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs, large = leader_pairs(open_rows, SMALL * size, LEADERS * size, CARRIED, likely, "own")
+        fresh = pairs.select("a", "b", "part", "part_b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+            fresh = fresh.join(tested, ["x", "y"], "left_anti")
         met = fresh.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
-        done = stash(met.mapInArrow(_verify, "a long, b long, similar boolean"))
-        tested = done if tested is None else tested.unionByName(done)
-        labels = components(tested.where("similar"))
+        done = stash(met.select("a", "b", "part", "part_b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, part long, part_b long, similar boolean"))
+        seen = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        tested = seen if tested is None else tested.unionByName(seen)
+        # components of what the rounds before have joined, by one confirmed edge for each member and part
+        labels = relabelled(labels, components(contracted(done.where("similar").select(F.col("a").alias("from"), F.col("part").alias("a"), F.col("part_b").alias("b")))))
         # large buckets whose members are in several components go on, with more leaders
         parts = large.drop("leads", "part").join(labels.toDF("a", "label"), "a", "left").withColumn("part", F.coalesce("label", "a")).drop("label")
         mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-        open_rows = stash(parts.join(mixed, "key"))
+        open_rows = parts.join(mixed, "key")
+        open_rows = stash(sharpened(open_rows, texts) if size == 1 else open_rows)
         if open_rows.isEmpty():
             break
+        size *= GROWTH
     named = member.join(labels, member.rep == labels.node, "left").select(TAG, "doc_id", F.coalesce("label", "rep").alias("class"))
     ids = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return named.join(ids, "class").select(TAG, "doc_id", "class_id", "class")
