@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds.
 
-Counts of every text (words, symbols, repeated lines and word windows) become three shares per 10,000. Their
-distribution in each language and source is kept as a mergeable quantile sketch: counts in equal buckets of
-``SKETCH_STEP``, so that any quantile is known to that step and sketches add up exactly, in any order, across tasks,
-sources and languages. A share is too high above ``q75 + 3 x max(q75 - q25, SPREAD)`` of its language and source; sources
-with fewer than ``LEAST_DOCS`` texts fall back to the merged sketch of the language, then of all texts.
+Counts of every text (words, symbols, repeated lines and word windows) become three shares per 10,000. The distribution
+of each share among the texts of a language and source that pass the base rules is kept as a mergeable quantile sketch:
+counts in equal buckets of ``SKETCH_STEP``, so that any quantile is known to that step and sketches add up exactly, in any
+order, across tasks, sources and languages. A share is too high above the greater of two points of its sketch: the outer
+quartile fence ``q75 + 3 x max(q75 - q25, SKETCH_STEP)``, and the quantile that leaves ``MOST`` of the texts above it, so
+that a rule that many sound texts break doesn't reject them. A source's threshold is drawn towards that of its language,
+and a language's towards that of all texts, as if ``PRIOR`` more texts had it: the fewer texts, the more.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from .common import sliced, stash, tagged
 from .textvec import SPACE, U, Words, mix
 
 SKETCH_STEP = 20
-#: The least spread that counts, by share: line and window repeats are rare events of wide scatter in sound texts.
-SPREAD = {"symbol_share": 100, "line_share": 1500, "repeat_share": 1500}
-LEAST_DOCS = 50
+#: Of the texts of a language and source, the share (per cent) that each rule rejects at most, but for what ties and ``PRIOR`` shift.
+MOST = {"symbol_share": 10, "line_share": 2, "repeat_share": 2}
+#: Texts that the threshold of the next wider group counts for.
+PRIOR = 50
 SHARES = ("symbol_share", "line_share", "repeat_share")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = np.zeros(256, bool)
@@ -90,8 +93,12 @@ def _share(part: str, whole: str):
     return F.when(F.col(whole) > 0, F.expr(f"({part} * 10000) div {whole}")).otherwise(F.lit(0)).cast("long")
 
 
+def _drawn(own: str, n: str, wider: str):
+    return F.expr(f"coalesce(({n} * {own} + {PRIOR} * {wider}) div ({n} + {PRIOR}), {wider})")
+
+
 def thresholds(stats: DataFrame) -> DataFrame:
-    """``lk, sk`` (language and source as keys) and one upper threshold for each share."""
+    """From the shares of sound texts: ``lk, sk`` (language and source as keys) and one upper threshold for each share."""
     bars = (
         stats.select("lk", "sk", F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.expr(f"{s} div {SKETCH_STEP}").alias("bucket")) for s in SHARES])).alias("x"))
         .groupBy("lk", "sk", "x.share", "x.bucket")
@@ -103,23 +110,17 @@ def thresholds(stats: DataFrame) -> DataFrame:
     )
     own = Window.partitionBy("level", "lk", "sk", "share")
     run = merged.withColumn("total", F.sum("n").over(own)).withColumn("below", F.sum("n").over(own.orderBy("bucket")))
-    quart = run.groupBy("level", "lk", "sk", "share").agg(
-        F.max("total").alias("total"), *[F.min(F.when(F.col("below") * 4 >= F.col("total") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 3)]
-    )
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in SPREAD.items() for x in kv]), F.col("share"))
-    fence = quart.select(
-        "level", "lk", "sk", "share", "total", (F.col("q3") * SKETCH_STEP + 3 * F.greatest((F.col("q3") - F.col("q1")) * SKETCH_STEP, least)).alias("t")
-    )
-    wide = fence.groupBy("level", "lk", "sk").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("share") == s, F.col("t"))).alias(f"max_{s}") for s in SHARES])
-    tops = [f"max_{s}" for s in SHARES]
-    by_source = wide.where("level = 0")
-    by_lang = wide.where("level = 4").select("lk", F.col("total").alias("lang_total"), *[F.col(c).alias(f"lang_{c}") for c in tops])
-    of_all = wide.where("level = 12").select(*[F.col(c).alias(f"all_{c}") for c in tops])
-    return (
-        by_source.join(by_lang, "lk", "left")
-        .join(F.broadcast(of_all))  # one row
-        .select("lk", "sk", *[F.when(F.col("total") >= LEAST_DOCS, F.col(c)).when(F.col("lang_total") >= LEAST_DOCS, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in tops])
+    stay = 100 - F.element_at(F.create_map(*[F.lit(x) for kv in MOST.items() for x in kv]), F.col("share"))
+    points = {"q1": F.lit(25), "q3": F.lit(75), "tail": stay}
+    points = run.groupBy("level", "lk", "sk", "share").agg(
+        F.max("total").alias("total"), *[F.min(F.when(F.col("below") * 100 >= F.col("total") * k, F.col("bucket"))).alias(q) for q, k in points.items()]
     )
+    fence = F.col("q3") + 3 * F.greatest(F.col("q3") - F.col("q1"), F.lit(1))
+    tops = points.select("level", "lk", "sk", "share", "total", F.greatest(fence * SKETCH_STEP, (F.col("tail") + 1) * SKETCH_STEP - 1).alias("t"))
+    wide = tops.groupBy("level", "lk", "sk").agg(F.max("total").alias("n"), *[F.max(F.when(F.col("share") == s, F.col("t"))).alias(s) for s in SHARES])
+    of_all = wide.where("level = 12").select(*[F.col(s).alias(f"all_{s}") for s in SHARES])
+    by_lang = wide.where("level = 4").join(F.broadcast(of_all)).select("lk", *[_drawn(s, "n", f"all_{s}").alias(f"lang_{s}") for s in SHARES])  # one row
+    return wide.where("level = 0").join(by_lang, "lk").select("lk", "sk", *[_drawn(s, "n", f"lang_{s}").alias(f"max_{s}") for s in SHARES])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -133,11 +134,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = rows.schema["doc_id"].dataType.simpleString()
     counted = rows.mapInArrow(_count, f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     key = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(c, F.lit("")))
-    stats = stash(
+    stats = (
         counted.withColumns({"lk": key("lang"), "sk": key("source"), "symbol_share": _share("n_symbols", "word_chars"), "line_share": _share("n_dup_lines", "n_lines"), "repeat_share": _share("n_repeat_words", "n_words")})
     )
-    # the thresholds are a row for each language and source; Spark broadcasts them only where their measured size allows it
-    joined = stats.join(thresholds(stats), ["lk", "sk"])
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = stash(stats.withColumn("base_failed", base))
+    # the thresholds are a row for each language and source; Spark broadcasts them only where their measured size allows it
+    joined = stats.join(thresholds(stats.where("not base_failed")), ["lk", "sk"], "left")
     fine = (F.col("symbol_share") <= F.col("max_symbol_share")) & (F.col("line_share") <= F.col("max_line_share")) & (F.col("repeat_share") <= F.col("max_repeat_share"))
-    return joined.select("doc_id", *COUNTS[:5], *SHARES, base.alias("base_failed"), (~base & fine).alias("kept"))
+    return joined.select("doc_id", *COUNTS[:5], *SHARES, "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(False))).alias("kept"))

@@ -101,24 +101,27 @@ t AS (
     CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END AS line_share,
     CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeat_share FROM s),
 b AS (
-  SELECT lang, source, unnest(['symbol_share', 'line_share', 'repeat_share']) AS share, unnest([symbol_share, line_share, repeat_share]) // {quality_rules.SKETCH_STEP} AS bucket FROM t),
+  SELECT lang, source, unnest(['symbol_share', 'line_share', 'repeat_share']) AS share, unnest([symbol_share, line_share, repeat_share]) // {quality_rules.SKETCH_STEP} AS bucket
+  FROM t WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
 lv AS (
   SELECT 0 AS level, lang, source, share, bucket FROM b UNION ALL SELECT 1, lang, NULL, share, bucket FROM b UNION ALL SELECT 2, NULL, NULL, share, bucket FROM b),
+c AS (SELECT level, lang, source, share, bucket, count(*) AS n FROM lv GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share) AS total, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY bucket) AS below FROM c),
 q AS (
-  SELECT level, lang, source, share, count(*) AS total, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM lv GROUP BY ALL),
-f AS (
-  SELECT level, lang, source, share, total,
-    q3 * {quality_rules.SKETCH_STEP} + 3 * greatest((q3 - q1) * {quality_rules.SKETCH_STEP}, CASE share {" ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.SPREAD.items())} END) AS top FROM q),
+  SELECT level, lang, source, share, max(total) AS total, min(bucket) FILTER (WHERE below * 100 >= total * 25) AS q1, min(bucket) FILTER (WHERE below * 100 >= total * 75) AS q3,
+    min(bucket) FILTER (WHERE below * 100 >= total * (100 - CASE share {" ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.MOST.items())} END)) AS tail FROM r GROUP BY level, lang, source, share),
+f AS (SELECT level, lang, source, share, total, greatest((q3 + 3 * greatest(q3 - q1, 1)) * {quality_rules.SKETCH_STEP}, (tail + 1) * {quality_rules.SKETCH_STEP} - 1) AS top FROM q),
+fl AS (SELECT l.lang, l.share, (l.total * l.top + {quality_rules.PRIOR} * g.top) // (l.total + {quality_rules.PRIOR}) AS top FROM f l JOIN f g ON g.level = 2 AND g.share = l.share WHERE l.level = 1),
 m AS (
-  SELECT a.lang, a.source, a.share, CASE WHEN a.total >= {quality_rules.LEAST_DOCS} THEN a.top WHEN l.total >= {quality_rules.LEAST_DOCS} THEN l.top ELSE g.top END AS top
-  FROM f a JOIN f l ON l.level = 1 AND l.share = a.share AND l.lang IS NOT DISTINCT FROM a.lang JOIN f g ON g.level = 2 AND g.share = a.share WHERE a.level = 0)
+  SELECT a.lang, a.source, a.share, (a.total * a.top + {quality_rules.PRIOR} * l.top) // (a.total + {quality_rules.PRIOR}) AS top
+  FROM f a JOIN fl l ON l.share = a.share AND l.lang IS NOT DISTINCT FROM a.lang WHERE a.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(symbol_share AS BIGINT) AS symbol_share, CAST(line_share AS BIGINT) AS line_share,
   CAST(repeat_share AS BIGINT) AS repeat_share, base AS base_failed,
-  NOT base AND symbol_share <= x.top AND line_share <= y.top AND repeat_share <= z.top AS kept
+  NOT base AND coalesce(symbol_share <= x.top AND line_share <= y.top AND repeat_share <= z.top, FALSE) AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base FROM t) t
-JOIN m x ON x.share = 'symbol_share' AND x.lang IS NOT DISTINCT FROM t.lang AND x.source IS NOT DISTINCT FROM t.source
-JOIN m y ON y.share = 'line_share' AND y.lang IS NOT DISTINCT FROM t.lang AND y.source IS NOT DISTINCT FROM t.source
-JOIN m z ON z.share = 'repeat_share' AND z.lang IS NOT DISTINCT FROM t.lang AND z.source IS NOT DISTINCT FROM t.source
+LEFT JOIN m x ON x.share = 'symbol_share' AND x.lang IS NOT DISTINCT FROM t.lang AND x.source IS NOT DISTINCT FROM t.source
+LEFT JOIN m y ON y.share = 'line_share' AND y.lang IS NOT DISTINCT FROM t.lang AND y.source IS NOT DISTINCT FROM t.source
+LEFT JOIN m z ON z.share = 'repeat_share' AND z.lang IS NOT DISTINCT FROM t.lang AND z.source IS NOT DISTINCT FROM t.source
 """
 
 OP5 = r"""
