@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import flat, sliced, tagged
 from .textvec import U, mix
@@ -112,7 +114,7 @@ def split_items(ids: list, texts: list[str]) -> Items:
     return Items(ids, texts, budgets, hashes_[order], pick(item), pick(start), pick(length))
 
 
-def _find(model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(model, item_type: pa.DataType, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     items: Items = model.value
     sieve = np.zeros(1 << 20, bool)
     sieve[(items.hashes & U((1 << 20) - 1)).astype(np.int64)] = True
@@ -142,11 +144,12 @@ def _find(model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t, k = items.texts[i], items.budgets[i]
                 if text[place : place + n] != t[s : s + n]:
                     continue
-                a, z = max(0, place - s - k), place - s + len(t) + k
-                # a window that begins where a verified one began says nothing new
-                if best.get((d, i), (1,))[0] == 0 or tried.get((d, i), -1) == a:
+                begin, z = place - s - k, place - s + len(t) + k
+                # the window of another piece at the same distance was the same one
+                if best.get((d, i), (1,))[0] == 0 or tried.get((d, i)) == begin:
                     continue
-                tried[(d, i)] = a
+                tried[(d, i)] = begin
+                a = max(0, begin)
                 window = text[a:z]
                 j = window.find(t)
                 dist, end = (0, j + len(t)) if j >= 0 else myers(t, window, k)
@@ -156,23 +159,23 @@ def _find(model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = b.column("doc_id").take(pa.array([d for (d, _), _ in rows], pa.int64()))
         tags = b.column("__tag").take(pa.array([d for (d, _), _ in rows], pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [tags, ids, pa.array([items.ids[i] for (_, i), _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[2] for _, v in rows], pa.int64()), pa.array([len(items.texts[i]) for (_, i), _ in rows], pa.int64())],
+            [tags, ids, pa.array([items.ids[i] for (_, i), _ in rows], item_type), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[2] for _, v in rows], pa.int64()), pa.array([len(items.texts[i]) for (_, i), _ in rows], pa.int64())],
             ["__tag", "doc_id", "item_id", "distance", "match_end", "item_length"],
         )
 
 
-def _blocks(items: DataFrame) -> list[Items]:
-    """The items in blocks of proven size; an item's text counts as it is after ``normal``."""
-    blocks, ids, texts, size = [], [], [], 0
+def _blocks(items: DataFrame) -> Iterator[Items]:
+    """The items in blocks of proven size, one at a time; an item's text counts as it is after ``normal``."""
+    ids, texts, size = [], [], 0
     for row in items.toLocalIterator():
         t = normal(pa.array([row.text], pa.string()))[0].as_py()
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(t) > BLOCK_CHARS):
-            blocks.append(split_items(ids, texts))
+            yield split_items(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(row.item_id)
         texts.append(t)
         size += len(t)
-    return [*blocks, split_items(ids, texts)]
+    yield split_items(ids, texts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -184,13 +187,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     it is broadcast in blocks of bounded size, one pass over the documents for each block.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).orderBy("item_id", "text")
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).orderBy("item_id", "text")
     rows = tagged(docs, id_col, text_col)
-    schema = f"__tag long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, distance long, match_end long, item_length long"
+    item = items.schema["item_id"]
+    item_type = to_arrow_type(item.dataType)
+    schema = f"__tag long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item.dataType.simpleString()}, distance long, match_end long, item_length long"
     out = None
     for block in _blocks(items):
-        model = spark.sparkContext.broadcast(block)
-        got = rows.mapInArrow(lambda it, m=model: _find(m, it), schema)
+        got = rows.mapInArrow(partial(_find, spark.sparkContext.broadcast(block), item_type), schema)
         out = got if out is None else out.unionByName(got)
     return out
 
