@@ -1,9 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration text is read as name-literal pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``NAME=literal``, ``name := name2``, ``"a" + "b"``); constants are propagated (a name that is assigned another name takes
-that name's literal, through any chain), and each literal is scored by the most sensitive name that it reaches and by
-how random it looks. Literals that score high add ``lexed`` spans to those of the base patterns.
+``NAME=literal``, ``name := name2``, ``"a" + "b"``, triple-quoted literals over several lines, ``name("literal")``,
+``put("name", "literal")``, ``<add key="name" value="literal">``, and what stands in braces under a name); values are
+followed through assignments (a name that is assigned another name takes that name's literal, through any chain), and each
+literal is scored by the most sensitive name that it reaches and by how random it looks. Literals that score high add
+``lexed`` spans to those of the base patterns.
 """
 
 from __future__ import annotations
@@ -32,10 +34,24 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 SPECIFIC = re.compile(r"[a-z0-9]key|auth|cookie|session|salt")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your.*|none|null|true|false|todo|test|<.*>|\$\{.*\}|%.*%)$")
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-TOKEN = re.compile(
-    rf"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-    rf"""|(?P<assign>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<end>[\n;,{{}}()\[\]])|(?P<word>{NAME})|(?P<bare>[A-Za-z0-9+/_.\-=]+)""",
-)
+#: What a line needs for it to be lexed: an assignment sign, a brace, or a call with a quoted argument.
+SIGN = re.compile(r"""[=:{}]|\(["']""")
+
+
+def _lexer(*quotes: str) -> re.Pattern:
+    strings = "|".join(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}" for q in quotes)
+    return re.compile(
+        rf"""(?P<triple>\"\"\"|''')"""
+        + (rf"""|(?P<string>{strings})|(?P<open>[{"".join(quotes)}])""" if quotes else "")
+        + rf"""|(?P<assign>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<end>[\n;,{{}}()\[\]])|(?P<word>{NAME})|(?P<bare>[A-Za-z0-9+/_.\-=]+)"""
+    )
+
+
+#: Lexers by the quotes that can still be closed on the line.
+LEXERS = {q: _lexer(*q) for q in ('"\'', '"', "'", "")}
+#: Names under which markup gives the name of a value.
+LABELS = ("key", "name")
+DEEPEST = 64
 #: A literal counts as found from this score on: the name's weight plus one for looking random.
 LEAST_SCORE = 3
 LITERAL_LEAST = 8
@@ -57,61 +73,105 @@ def looks_random(value: str) -> bool:
 
 
 class Pair:
-    """A name and what it is assigned: a literal's span, or another name. ``joined`` is the literal that this is a part of."""
+    """A name and what it is assigned: a literal's span, or another name. ``joined`` is the literal that this is a part of.
 
-    __slots__ = ("end", "joined", "name", "ref", "start")
+    ``outer`` is the weight of the names whose braces it stands in.
+    """
+
+    __slots__ = ("end", "joined", "name", "outer", "ref", "start")
 
-    def __init__(self, name: str, start: int, end: int, ref: str | None, joined: Pair | None = None):
-        self.name, self.start, self.end, self.ref, self.joined = name, start, end, ref, joined
+    def __init__(self, name: str, start: int, end: int, ref: str | None, joined: Pair | None = None, outer: int = 0):
+        self.name, self.start, self.end, self.ref, self.joined, self.outer = name, start, end, ref, joined, outer
 
 
 def pairs(text: str) -> Iterator[Pair]:
     """Name-literal and name-name pairs in the order of the text."""
-    # an assignment needs '=' or ':'; a run of lines without either has none
     name, name_end, armed = None, -1, False
     joined: Pair | None = None
-    for m in _tokens(text):
-        kind = m.lastgroup
+    word_end, label, argument = -1, None, None  # end of the last bare word; key="..." of markup; first argument of a call
+    nest: list[int] = []
+    for kind, start, end in _tokens(text):
         if kind == "end":
-            name, armed, joined = None, False, None
+            mark = text[start]
+            calls, follows = mark == "(" and name is not None and word_end == start, mark == "," and argument is not None
+            if mark == "{" and len(nest) < DEEPEST:
+                nest.append(max(nest[-1] if nest else 0, sensitivity(name) if armed and name else 0))
+            elif mark == "}" and nest:
+                nest.pop()
+            elif mark == "\n":
+                label = None
+            name, armed = (name, True) if calls else (argument, True) if follows else (None, False)
+            argument, joined = "" if calls else None, None
+        elif kind == "blank":
+            nest.clear()
         elif kind == "assign":
-            armed, joined = name is not None and text[name_end : m.start()].strip(" \t") == "", None
+            armed, joined = name is not None and text[name_end:start].strip("\"' \t") == "", None
+            argument = None
             if not armed:
                 name = None
         elif kind == "plus":
             if joined is None:
                 name, armed = None, False
         elif armed and name is not None:
-            if kind == "string":
-                got = Pair(name, m.start() + 1, m.end() - 1, None)
-            elif kind == "word":
-                got = Pair(name, m.start(), m.end(), m.group())
-            else:
-                got = Pair(name, m.start(), m.end(), None)
+            ref = text[start:end] if kind == "word" else None
+            plain = name.lower()
+            if kind == "string" and label and plain == "value":
+                name = label
+            got = Pair(name, start, end, ref, None, nest[-1] if nest else 0)
+            if kind != "string" and argument == "":
+                armed = False  # only quoted arguments are literals
+                continue
             yield got
+            value = text[start:end] if kind == "string" and end - start <= 64 and re.fullmatch(NAME, text[start:end]) else None
+            if plain in LABELS and value:
+                label = value
+            argument = value if argument == "" else None
             joined, armed = got, False
-            name, name_end = (m.group(), m.end()) if kind == "word" else (None, -1)
-        elif joined is not None and kind == "string" and text[joined.end : m.start()].strip("\"' \t") == "+":
-            joined = Pair(joined.name, m.start() + 1, m.end() - 1, None, joined.joined or joined)  # a further part of a joined literal
+            name, name_end = (ref, end) if ref else (None, -1)
+        elif joined is not None and kind == "string" and text[joined.end : start].strip("\"' \t") == "+":
+            joined = Pair(joined.name, start, end, None, joined.joined or joined, joined.outer)  # a further part of a joined literal
             yield joined
         else:
-            name = m.group().strip("\"'") if kind in ("word", "string") else None
-            name_end, joined = m.end(), None
+            name = text[start:end] if kind in ("word", "string") else None
+            name_end, joined, word_end = end, None, end if kind == "word" else -1
 
 
-def _tokens(text: str) -> Iterator[re.Match]:
-    """Lexes only the lines that hold an assignment sign; all other text is skipped without a look."""
+def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of each token; of strings, what is between the quotes. ``blank`` is an empty line.
+
+    Only lines with a ``SIGN`` are lexed; all other text is skipped. A quote that isn't closed on its line is passed over:
+    then none of its kind after it is closed either, so that each line is read a bounded number of times.
+    """
     at, n = 0, len(text)
-    while at < n:
-        a, b = text.find("=", at), text.find(":", at)
-        hit = min(x for x in (a, b) if x >= 0) if max(a, b) >= 0 else -1
-        if hit < 0:
-            return
-        begin = max(text.rfind("\n", at, hit) + 1, at)
-        stop = text.find("\n", hit)
-        stop = n if stop < 0 else stop + 1
-        yield from TOKEN.finditer(text, begin, stop)
-        at = stop
+    unclosed: set[str] = set()  # triple quotes that the rest of the text doesn't close
+    while (sign := SIGN.search(text, at)) is not None:
+        begin = max(text.rfind("\n", at, sign.start()) + 1, at)
+        if begin > at and text.find("\n\n", max(at - 1, 0), begin) >= 0:
+            yield "blank", begin, begin
+        stop = text.find("\n", sign.start()) + 1 or n
+        quotes, at = "\"'", begin
+        while at < stop:
+            resume = stop
+            for m in LEXERS[quotes].finditer(text, at, stop):
+                kind = m.lastgroup
+                if kind == "string":
+                    yield kind, m.start() + 1, m.end() - 1
+                elif kind == "triple":
+                    close = -1 if m.group() in unclosed else text.find(m.group(), m.end())
+                    if close < 0:
+                        unclosed.add(m.group())
+                        continue
+                    yield "string", m.end(), close
+                    resume = close + 3
+                    if resume > stop:
+                        quotes, stop = "\"'", text.find("\n", resume) + 1 or n
+                    break
+                elif kind == "open":
+                    quotes, resume = quotes.replace(m.group(), ""), m.end()
+                    break
+                else:
+                    yield kind, m.start(), m.end()
+            at = resume
 
 
 def lexed(text: str) -> list[tuple[int, int, int]]:
@@ -151,7 +211,7 @@ def lexed(text: str) -> list[tuple[int, int, int]]:
         value = whole[p.joined or p]
         if p.ref or p.start == p.end or len(value) < LITERAL_LEAST or PLACEHOLDER.match(value):
             continue
-        weight = score[p.name]
+        weight = max(score[p.name], p.outer)
         s = weight + looks_random(value)
         if weight and s >= LEAST_SCORE:
             out.append((p.start, p.end, s))
@@ -193,7 +253,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _redact(at: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, at):
         texts = pa.array([t and redact(t, scan(t)) for t in b.column(at).to_pylist()], b.schema.field(at).type)
         yield pa.RecordBatch.from_arrays([texts if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
