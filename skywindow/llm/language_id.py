@@ -1,13 +1,14 @@
-"""Language identification: multinomial naive Bayes over hashed character n-grams.
+"""Language identification: multinomial naive Bayes over hashed character n-grams, all languages equally likely at first.
 
 Counts of 1- to 3-grams in ``BUCKETS`` buckets are summed by language over all learning texts in Spark; the matrix of log
-probabilities (languages x buckets, at most ``MAX_LANGS`` rows) is broadcast, and texts are scored in numpy from their
-sparse bucket counts.
+probabilities is broadcast in blocks of ``BLOCK_LANGS`` languages, and texts are scored in numpy from their bucket counts,
+block after block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, sliced, tagged
+from .common import flat, sliced, stash, tagged
 from .textvec import U, mix
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
-#: The broadcast matrix has at most this many languages: 512 x 2^14 floats are 32 MB.
-MAX_LANGS = 512
+#: Languages of one broadcast block of the matrix: 512 x 2^14 floats are 32 MB. More languages are scored in further passes.
+BLOCK_LANGS = 512
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -76,26 +77,29 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(row[at])], ["lang", "bucket", "n"])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages in order of code point and their log probabilities, from the learning folds."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Iterator[tuple[list[str], np.ndarray]]:
+    """The languages in order of code point and their log probabilities, from the learning folds, block by block."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id"))
     rows = rows.where(~_held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).drop("id")
     sums = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row of at most BUCKETS counts for each language: what reaches the driver doesn't grow with the documents
-    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(packed) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = np.full((len(packed), BUCKETS), ALPHA)
-    for k, row in enumerate(packed):
-        counts[k, [c.bucket for c in row.c]] += [c.n for c in row.c]
-    return [r.lang for r in packed], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    packed = stash(sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")))
+    langs = sorted(r.lang for r in packed.select("lang").collect())
+    for k in range(0, len(langs), BLOCK_LANGS):
+        block = langs[k : k + BLOCK_LANGS]
+        got = packed.where(F.col("lang").between(block[0], block[-1])).toArrow().combine_chunks()
+        counts = np.full((len(block), BUCKETS), ALPHA)
+        for lang, bucket, n in zip(got["lang"].to_pylist(), got["bucket"], got["n"], strict=True):
+            counts[block.index(lang), bucket.values.to_numpy()] += n.values.to_numpy()
+        yield block, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
 def _held_out(c: str):
     return F.coalesce(F.crc32(F.col(c).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _predict(model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(model, names: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores texts against one more block: the best language so far, its log score, and all scores over it, summed."""
     langs, logp = model.value
     for b in sliced(batches):
         d, k, n_letters = grams(b.column("text"))
@@ -103,11 +107,12 @@ def _predict(model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         score = np.zeros((n, len(langs)))
         for j in range(len(langs)):
             score[:, j] = np.bincount(d, logp[j][k], n)
-        known = (n_letters > 0) & (len(langs) > 0)
-        best = score.argmax(1) if langs else np.zeros(n, np.int64)
-        prob = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1) if langs else np.zeros(n)
-        pred = [langs[x] if y else "und" for x, y in zip(best, known, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, prob, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+        old, total, top = b.column("best").to_numpy(), b.column("total").to_numpy(), score.max(1)
+        known, best = n_letters > 0, np.maximum(old, top)
+        total = np.where(known, total * np.exp(old - best) + np.exp(score - best[:, None]).sum(1), total)
+        first = pa.array(langs, pa.string()).take(pa.array(score.argmax(1)))
+        cols = {"lang_pred": pc.if_else(pa.array(known & (top > old)), first, b.column("lang_pred")), "best": pa.array(np.where(known, best, old)), "total": pa.array(total)}
+        yield pa.RecordBatch.from_arrays([cols.get(c, b.column(c)) for c in names], names)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -117,7 +122,16 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are null or have no letter, and all texts where nothing can be learned, are ``und`` with score 0. Ties go to the
     language first by code point. Repeated rows each count and keep their row; an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
-    rows = tagged(docs, id_col, text_col).select("doc_id", "text", _held_out("doc_id").alias("held_out"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _predict(model, it), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    start = {"lang_pred": F.lit("und"), "best": F.lit(float("-inf")), "total": F.lit(0.0)}
+    rows = tagged(docs, id_col, text_col).select("doc_id", _held_out("doc_id").alias("held_out"), "text", *[v.alias(k) for k, v in start.items()])
+    spark, fields = docs.sparkSession, {f.name: f"{f.name} {f.dataType.simpleString()}" for f in rows.schema}
+    blocks = learn(docs, id_col, text_col, lang_col)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        if following is None:
+            fields.pop("text")  # read for the last time
+        rows = rows.mapInArrow(partial(_predict, spark.sparkContext.broadcast(block), list(fields)), ", ".join(fields.values()))
+        block = following
+    known = F.col("best") > float("-inf")
+    return rows.select("doc_id", "held_out", "lang_pred", F.when(known, 1 / F.col("total")).otherwise(0.0).alias("score"))
