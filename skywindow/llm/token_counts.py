@@ -24,6 +24,8 @@ from .textvec import U, mix
 BLOCK_BYTES = 8 << 20
 #: Pre-tokens whose counts a task remembers while equal ones pass by.
 REMEMBERED = 200_000
+#: Bytes of a block's postings from which a pre-token's blocks are dealt to several places, and how many.
+LONG_POSTINGS, SALTS = 1 << 10, 256
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 #: What a leading apostrophe splits off, by the letters after it (fixed values of byte-level pre-tokenizers).
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -241,7 +243,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     rows = tagged(docs, id_col, text_col)
     path = tokenizer_path
     posts = rows.select(TAG, "text").mapInArrow(lambda it: _postings(path, it), "piece string, base long, postings binary")
-    dealt = posts.repartition(F.coalesce(F.xxhash64("piece"), F.lit(0)) + F.when(F.col("piece").isNull(), F.col("base")).otherwise(0))
+    # a pre-token that many documents of a block have is counted in up to SALTS places, each with some of its blocks
+    spread = F.when(F.col("piece").isNull(), F.col("base")).when(F.octet_length("postings") > LONG_POSTINGS, F.pmod(F.xxhash64("base"), F.lit(SALTS))).otherwise(0)
+    dealt = posts.repartition(F.xxhash64("piece"), spread)
     sums = dealt.mapInArrow(lambda it: _piece_sums(path, it), f"{TAG} long, n long").groupBy(TAG).agg(F.sum("n").alias("n_tokens"))
     sizes = rows.select(TAG, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     joined = sizes.join(sums, TAG, "left")
