@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, near_dup, quality_knn, quality_rules, secret_scan, substring_dedup, token_counts
+from . import chat_format, decontaminate, language_id, merkle, mixing, near_dup, phrases, quality_knn, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.tampered(F.col("doc_id"), F.col("text"))
+    out = merkle.manifest(_table(spark, sf_dir, "documents"), check=found)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_token_counts, op3_quality_classifier, op4_quality_rules, op5_chat_formatting, op6_secret_scans, op7_decontamination, op8_language_id, op9_mixing,
-        op10_minhash_near_dedup, pipeline,
+        op10_minhash_near_dedup, op11_collocations, op12_simhash_near_dedup, op13_merkle_manifest, pipeline,
     )
 }
 
@@ -159,4 +173,60 @@ SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken,
 FROM n
 """
 
-SQL: dict[str, str] = {"op4_quality_rules": OP4, "op5_chat_formatting": OP5, "op9_mixing": OP9}
+OP11 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM q),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT u.lang, u.phrase, u.a, l.f AS l, r.f AS r, t.n, cut, (1000::HUGEINT * u.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM u JOIN t ON t.lang = u.lang JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:u.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+j AS (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM c),
+jj AS (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM j),
+h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS held FROM jj GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE held IS NULL OR 100 * held < {phrases.COVERED_PERCENT} * a
+QUALIFY rank <= {phrases.TOP}
+"""
+
+
+def _tlv(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + "))"
+
+
+_TEXT = "CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+#: CRC-32 of the id's digits, bit by bit: numbers from 0 on go in, -1 shifts.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT)"
+_F = merkle.FANOUT
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT *, coalesce({_CRC} % {merkle.TAMPER_EVERY} = 0, FALSE) AS hit, row_number() OVER () AS rid FROM documents),
+e AS (SELECT *, {_tlv("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_tlv("doc_id", "source", "lang", "n_chars", _TEXT)} AS found, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS tree FROM d),
+leaves AS (SELECT doc_id, leaf, found, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM e),
+nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS digest FROM leaves UNION ALL
+  SELECT tree, level + 1, i // {_F}, any_value((n + {_F - 1}) // {_F}), sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // {_F}),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, n, digest FROM subroots UNION ALL
+  SELECT level + 1, i // {_F}, any_value((n + {_F - 1}) // {_F}), sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // {_F}),
+path AS (
+  SELECT l.tree, l.i, o.level, string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < l.i // CAST(pow({_F}, o.level) AS BIGINT)) AS l, string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > l.i // CAST(pow({_F}, o.level) AS BIGINT)) AS r
+  FROM leaves l JOIN nodes o ON o.tree = l.tree AND o.n > 1 AND o.i // {_F} = l.i // CAST(pow({_F}, o.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT l.tree, l.i, 1000 + o.level, string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < s.i // CAST(pow({_F}, o.level) AS BIGINT)), string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > s.i // CAST(pow({_F}, o.level) AS BIGINT))
+  FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN tops o ON o.n > 1 AND o.i // {_F} = s.i // CAST(pow({_F}, o.level + 1) AS BIGINT) GROUP BY ALL),
+proof AS (SELECT tree, i, list(struct_pack(l := coalesce(l, ''), r := coalesce(r, '')) ORDER BY level) AS steps FROM path GROUP BY ALL),
+fold AS (
+  SELECT l.tree, l.i, 1 AS step, found AS digest, coalesce(steps, []) AS steps FROM leaves l LEFT JOIN proof p ON p.tree = l.tree AND p.i = l.i UNION ALL
+  SELECT tree, i, step + 1, sha256(concat(steps[step].l, digest, steps[step].r)), steps FROM fold WHERE step <= len(steps))
+SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(coalesce(array_to_string(list_transform(f.steps, lambda x: x.l || x.r), ''), '')) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN tops t ON t.n = 1 JOIN fold f ON f.tree = l.tree AND f.i = l.i AND f.step = len(f.steps) + 1
+"""
+
+SQL: dict[str, str] = {"op4_quality_rules": OP4, "op5_chat_formatting": OP5, "op9_mixing": OP9, "op11_collocations": OP11, "op13_merkle_manifest": OP13}
