@@ -22,7 +22,7 @@ from .textvec import U, mix, spans
 
 LONGEST, LEAST, TOP, COVERED_PERCENT = 5, 100, 2000, 100
 #: Bytes of text that a task sums up at a time. A longer text is cut behind a mark that ends a piece.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Hash partitions: one for so many bytes of text, between these bounds. What merges one holds its counters and BUFFER entries more.
 PART_BYTES, LEAST_PARTS, MOST_PARTS, BUFFER = 1 << 20, 256, 1 << 16, 1 << 21
 #: What is kept is sent to the tasks as a bit map of so many bits an n-gram, between these bounds (2 MB to 128 MB). Others that
@@ -46,7 +46,7 @@ class Slice:
         data = _LOWER[data]
         start, end, first = spans(data, offs, _APART)
         doc = np.repeat(np.arange(len(text)), np.diff(first))
-        self.piece = np.cumsum(_ENDS[data])[start] + doc if len(start) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(_ENDS[data], dtype=np.int32)[start] + doc if len(start) else np.zeros(0, np.int64)
         self.lang, self.langs = np.asarray(lang.indices).astype(np.int64)[doc], lang.dictionary
         bounds = np.concatenate([[0], np.cumsum(end - start)])
         packed = data[~_APART[data]]
