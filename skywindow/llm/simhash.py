@@ -6,7 +6,7 @@ be linked, so that only those just outside of the radius are compared with the i
 guests. A shard (leaf of the tree) compares those that live in it with each other and with its guests.
 
 Distances of 64 bits gather around 32, where nothing could be pruned. So there is a tree for each of three parts of the
-bits: of 4 differing bits, one part has at most one (``reach``), and the distances of a part spread widely against that.
+bits: of 4 differing bits, one part has at most one, and the distances of a part spread widely against that.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from .textvec import SPACE, U, mix, spans
 SHINGLE, SEED = 4, 42
 #: Fingerprints are linked at so many differing bits or fewer.
 LINKED = 4
-#: The parts of the bits, each with its own tree, and how many differing bits one of them has at most.
+#: The parts of the bits (the lowest, how many), each with its own tree. Of ``LINKED`` differing bits one has at most one.
 PARTS = ((0, 22), (22, 21), (43, 21))
-REACH = LINKED // len(PARTS)
 #: Trees are grown until a shard has about so many fingerprints. Vantage points come from a sample of about so many, and at most
 #: a quarter; where it has fewer than FEW left in a node, they come from the way to it, and the radius is half the part's bits.
 SHARD, SAMPLE, FEW = 2048, 8192, 32
 #: Most rows of a comparison: larger shards (many fingerprints around one point) are compared piece by piece.
-PIECE = 4096
+PIECE = 8192
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Shingles whose bits are counted at a time.
@@ -112,7 +111,7 @@ class Tree:
                 for c in here[(mix(np.arange(8, dtype=U), node) % U(len(here))).astype(np.int64)]:
                     d = _distance(here, c)
                     r = int(np.median(d))
-                    cost = max(np.mean(d <= r + REACH), np.mean(d > r))
+                    cost = max(np.mean(d <= r + 1), np.mean(d > r))
                     if cost < 0.9 and (best is None or cost < best[0]):
                         best = (cost, int(c), r)
             for values, x in ((self.vantage, best[1] if best else 0), (self.radius, best[2] if best else -1), (self.inner, -1), (self.outer, -1)):
@@ -121,40 +120,48 @@ class Tree:
             self.depth.append(0 if best or len(here) >= FEW else int(np.ceil(np.log(max(rows / SHARD, 1)) / np.log(1 / 0.6))))
             if best:
                 d = _distance(here, U(best[1]))
-                todo += [(node, True, here[d <= best[2] + REACH]), (node, False, here[d > best[2]])]
+                todo += [(node, True, here[d <= best[2] + 1]), (node, False, here[d > best[2]])]
         self.vantage = np.array(self.vantage, U)
         self.radius, self.inner, self.outer, self.depth = (np.array(x, np.int64) for x in (self.radius, self.inner, self.outer, self.depth))
 
-    def _step(self, row, home, d, r):
-        """Where the rows go on: indices of the old rows, whether inwards, and whether they live there.
+    def _step(self, value, vantage, r, home, near):
+        """Where rows go on: indices of the old rows, whether inwards, whether they live there, and their ``near``.
 
-        A pair that parts at a node meets in the inner branch; guests go wherever a resident in reach can be.
+        A resident's partners have its own value, and go the same way, or differ in one bit. Of those that go the other way, it
+        meets the ones in the inner branch, as a guest. ``near`` has the bits in which a guest's partners there may differ from
+        it: such a bit brings the partner closer to the vantage point if the guest itself differs from that in it, else
+        further off. A guest goes wherever it has partners left.
         """
+        z = value ^ vantage
+        d = np.bitwise_count(z).astype(np.int64)
         inside = d <= r
-        visit, other = np.flatnonzero(~inside & (d - REACH <= r)), np.flatnonzero(~home & inside & (d + REACH > r))
-        at = np.concatenate([np.arange(len(row)), visit, other])
-        inwards = np.concatenate([inside, np.ones(len(visit), bool), np.zeros(len(other), bool)])
-        return at, inwards, np.concatenate([home, np.zeros(len(visit) + len(other), bool)])
+        inner = np.where(d < r, near, np.where(d <= r + 1, near & z, U(0)))
+        outer = near & ~inner
+        at = [np.flatnonzero(home), np.flatnonzero(home & (d == r + 1)), np.flatnonzero(~home & (inner > 0)), np.flatnonzero(~home & (outer > 0))]
+        n = [len(x) for x in at]
+        inwards = np.concatenate([inside[at[0]], np.ones(n[1] + n[2], bool), np.zeros(n[3], bool)])
+        lives = np.concatenate([np.ones(n[0], bool), np.zeros(n[1] + n[2] + n[3], bool)])
+        return np.concatenate(at), inwards, lives, np.concatenate([np.zeros(n[0], U), z[at[1]], inner[at[2]], outer[at[3]]])
 
     def route(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The shards that each fingerprint is in: its number, the shard, and whether it lives there (else it is a guest)."""
         value, width = _part(fp, self.part), PARTS[self.part][1]
-        row, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+        row, node, home, near = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool), np.zeros(len(fp), U)
         leaves, out = [], []
         while len(row):
             leaf = self.radius[node] < 0
-            leaves.append((row[leaf], node[leaf], home[leaf]))
-            row, node, home = row[~leaf], node[~leaf], home[~leaf]
-            at, inwards, home = self._step(row, home, _distance(value[row], self.vantage[node]).astype(np.int64), self.radius[node])
+            leaves.append((row[leaf], node[leaf], home[leaf], near[leaf]))
+            row, node, home, near = row[~leaf], node[~leaf], home[~leaf], near[~leaf]
+            at, inwards, home, near = self._step(value[row], self.vantage[node], self.radius[node], home, near)
             row, node = row[at], np.where(inwards, self.inner[node[at]], self.outer[node[at]])
-        row, node, home = (np.concatenate([x[i] for x in leaves]) if leaves else np.zeros(0, np.int64) for i in range(3))
+        row, node, home, near = (np.concatenate([x[i] for x in leaves]) if leaves else np.zeros(0, np.int64) for i in range(4))
         way, level = np.ones(len(row), np.int64), 0
         while len(row):
             done = self.depth[node] <= level
             out.append((row[done], ((node[done] * len(PARTS) + self.part) << 40) | way[done], home[done]))
-            row, node, home, way = row[~done], node[~done], home[~done], way[~done]
+            row, node, home, near, way = row[~done], node[~done], home[~done], near[~done], way[~done]
             vantage = mix((node << 40 | way).astype(U), 31 + self.part) & U((1 << width) - 1)
-            at, inwards, home = self._step(row, home, _distance(value[row], vantage).astype(np.int64), np.int64(width // 2))
+            at, inwards, home, near = self._step(value[row], vantage, np.int64(width // 2), home, near)
             row, node, way, level = row[at], node[at], 2 * way[at] + inwards, level + 1
         return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
@@ -171,50 +178,62 @@ def _router(trees):
     return route
 
 
-def links(x: np.ndarray, y: np.ndarray, part: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def links(x: np.ndarray, y: np.ndarray, part: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (positions in x and y) at ``LINKED`` bits or fewer that this part's tree has to find: it is the first with at most
-    ``REACH`` differing bits."""
-    left, right = [], []
+    one differing bit."""
     step = max(1, (1 << 21) // max(len(y), 1))
     for a in range(0, len(x), step):
         i, j = np.nonzero(np.bitwise_count(x[a : a + step, None] ^ y[None, :]) <= LINKED)
         i += a
-        if same:
-            i, j = i[i < j], j[i < j]
-        first = np.ones(len(i), bool)
-        for p in range(part):
-            first &= _distance(_part(x[i], p), _part(y[j], p)) > REACH
-        left.append(i[first])
-        right.append(j[first])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """The links of one comparison: residents of piece ``p`` with those of piece ``q``, and residents of ``p`` with guests of ``q``."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not table.num_rows:
-        return empty
-    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-    part = (table.column("shard")[0].as_py() >> 40) % len(PARTS)
-    fp, home, piece = np.asarray(table.column("fp")).view(U), np.asarray(table.column("home")), np.asarray(table.column("piece"))
-    residents = fp[home & (piece == p)]
-    found = []
-    if p == q:
-        i, j = links(residents, residents, part, True)
-        found.append((residents[i], residents[j]))
-    elif p < q:
-        others = fp[home & (piece == q)]
-        i, j = links(residents, others, part, False)
-        found.append((residents[i], others[j]))
-    guests = fp[~home & (piece == q)]
-    i, j = links(residents, guests, part, False)
-    found.append((residents[i], guests[j]))
-    a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-
-def linked(prints: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of the distinct fingerprints ``fp`` (a stored table) that are linked, each once."""
+        keep = i < j if same else np.ones(len(i), bool)
+        for p in range(part + 1):
+            keep &= (_distance(_part(x[i], p), _part(y[j], p)) > 1) == (p < part)
+        yield i[keep], j[keep]
+
+
+def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer than n pairs with the same components: of each of 0..n-1 that isn't the first of its component, and that first."""
+    label = np.arange(n)
+    for i, j in pairs:
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+    rest = np.flatnonzero(label != np.arange(n))
+    return rest, label[rest]
+
+
+def _compare(all_links: bool):
+    """One comparison: residents of piece ``p`` with those of piece ``q``, and residents of ``p`` with guests of ``q``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        part = (table.column("shard")[0].as_py() >> 40) % len(PARTS)
+        fp, home, piece = np.asarray(table.column("fp")).view(U), np.asarray(table.column("home")), np.asarray(table.column("piece"))
+        mine, theirs, guests = (np.flatnonzero(x) for x in (home & (piece == p), home & (piece == q), ~home & (piece == q)))
+        sides = [(mine, guests, False)] + ([(mine, mine, True)] if p == q else [(mine, theirs, False)] if p < q else [])
+        found = ((x[i], y[j]) for x, y, same in sides for i, j in links(fp[x], fp[y], part, same))
+        if all_links:
+            found = [(np.zeros(0, np.int64),) * 2, *found]
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        else:
+            a, b = forest(len(fp), found)
+        return pa.table({"a": pa.array(fp[a].view(np.int64)), "b": pa.array(fp[b].view(np.int64))})
+
+    return run
+
+
+def linked(prints: DataFrame, all_links: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of the distinct fingerprints ``fp`` (a stored table) with the components that all links have.
+
+    Each comparison gives a forest of its links, so that many fingerprints around one point don't give the square of their
+    number; with ``all_links`` it gives every link, each once.
+    """
     spark = prints.sparkSession
     total = prints.count()
     # a bounded sample: those of least hash, for the shape of the trees alone
@@ -231,7 +250,7 @@ def linked(prints: DataFrame) -> DataFrame:
     as_q = F.transform(F.filter(every, lambda k: k != F.col("piece")), lambda k: F.struct(k.alias("p"), F.col("piece").alias("q")))
     meets = F.when(F.col("n") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).when(F.col("home"), F.concat(as_p, as_q)).otherwise(F.concat(as_q, F.array(F.struct(F.col("piece").alias("p"), F.col("piece").alias("q")))))
     met = rows.select("shard", "fp", "home", "piece", F.explode(meets).alias("m")).select("shard", "fp", "home", "piece", "m.p", "m.q")
-    return met.groupBy("shard", "p", "q").applyInArrow(_compare, "a long, b long")
+    return met.groupBy("shard", "p", "q").applyInArrow(_compare(all_links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
