@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import BANDS, CALLSIGN, CW_MODES, DIGITAL_MODES, LEAST_PATH_KM
 from .geo import grid_lat, grid_lon, great_circle_km, normal_grid
 
+#: The reasons of ``judged``, in their order.
+REASONS = ("missing_required_field", "unsupported_band", "invalid_callsign", "mm_am_suffix", "self_spot", "rr73_grid", "no_usable_location", "distance_too_short")
+
 
 def mode_class(mode: Column) -> Column:
     m = F.upper(F.trim(mode))

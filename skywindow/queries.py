@@ -19,7 +19,7 @@ from .operators.labels import labels as build_labels
 from .operators.labels import universe as build_universe
 from .operators.labels import unlabeled_fraction as build_unlabeled
 from .plans.nowcast import prediction_surface as surface
-from .plans.tables import scratch, shared_folder, staged
+from .plans.tables import scratch, staged
 from .queries_sql import SQL
 from .schema import CELL
 
@@ -172,12 +172,10 @@ def spaceweather_features_h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _space(spark, sf_dir, 6)
 
 
-def _history(spark: SparkSession, sf_dir: str, part: str, horizon: float = 0) -> DataFrame:
+def _history(spark: SparkSession, sf_dir: str, *relations: str, horizon: float = 0) -> DataFrame:
     cells = staged(labels_of(spark, sf_dir))
-    out = features.add_history(cells, cells.select(*CELL), horizon)
-    cols = [c for c in features.HISTORY_COLUMNS if c.startswith(part)]
-    out = out.select(*CELL, *cols)
-    if "same_hour_yesterday_open" in cols:
+    out = features.add_history(cells, cells.select(*CELL), horizon, relations)
+    if "yesterday" in relations:
         out = out.withColumn("same_hour_yesterday_open", F.col("same_hour_yesterday_open").cast("int"))
     return rounded(seconds(out))
 
@@ -209,12 +207,12 @@ def history_band_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_yesterday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, "same_hour")
+    return _history(spark, sf_dir, "yesterday")
 
 
 @query
 def history_h6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, "same_", 6)
+    return _history(spark, sf_dir, "same_cell", "yesterday", horizon=6)
 
 
 def split(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -393,15 +391,14 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_hourly_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots as JSON payloads through the streaming accumulator in several micro-batches, late hours included."""
-    from .streaming.accumulator import HourlyStore, accumulate
+    from .streaming.accumulator import accumulate
+    from .streaming.hourstore import HourlyStore
 
     s = adapter.spots(spark, sf_dir)
     fields = {"f": F.lit("14074000"), "md": F.col("mode"), "rp": F.col("snr_db").cast("string"), "t": F.unix_seconds("ts").cast("string"), "sc": F.col("dx_call"), "sl": F.col("dx_grid"), "rc": F.col("de_call"), "rl": F.col("de_grid"), "b": F.col("band")}
     root = scratch(spark)
     s.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value")).repartition(4).write.text(f"{root}/in")
     store = HourlyStore(spark, f"{root}/store")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     q = accumulate(spark.readStream.option("maxFilesPerTrigger", 2).text(f"{root}/in"), store, f"{root}/progress")
     q.awaitTermination()
     back = store.read()
@@ -416,7 +413,7 @@ def gbt_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = adapter.hourly(spark, sf_dir)
     names = [*features.TIME_COLUMNS, "band_ordinal", *features.GEOMETRY_COLUMNS, *features.SPACE_COLUMNS, "same_cell_n_1h", "same_cell_n_24h", "reverse_path_n_24h", "adjacent_cell_n_24h", "band_wide_n_1h"]
     matrix = lambda rows: staged(features.feature_matrix(rows, cells, hourly, 0).select(*CELL, "open", *names))
-    model = GBT(names, trees=15, depth=4).fit(matrix(train))
+    model = GBT(names, trees=30, leaves=31, rate=0.1).fit(matrix(train))
     tree = metrics.scores(model.predict(matrix(late)), F.lit("gbt").alias("model"))
     return rounded(tree.unionByName(metrics.scores(Climatology().fit(train).predict(late), F.lit("climatology").alias("model"))))
 

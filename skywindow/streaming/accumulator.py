@@ -5,17 +5,15 @@ from __future__ import annotations
 import threading
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.hygiene import qualifying, reject_counts
-from ..operators.dedup import dedup_spots
-from ..schema import as_spots
+from .hourstore import HourlyStore
+from .spool import MemoryLog, Spool
 
 PAYLOAD = "sq long, f string, md string, rp string, t string, t_tx string, sc string, sl string, rc string, rl string, sa long, ra long, b string"
 
@@ -43,61 +41,23 @@ def parse_reports(raw: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("parse_error", F.when(bad, "unparsed"))
 
 
-class HourlyStore:
-    """Spots by UTC hour. ``upsert`` reads the hours that a batch touches, keeps the best spots, and rewrites those hours.
-
-    The same batch twice gives the same table, so a restarted query loses and doubles nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def upsert(self, batch: DataFrame, batch_id: int = 0) -> None:
-        spots = qualifying(as_spots(batch.where("parse_error is null"))).withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH"))
-        spots = spots.persist()
-        try:
-            hours = [r.hour for r in spots.select("hour").distinct().collect()]  # a batch touches a few hours
-            if not hours:
-                return
-            old = self._stored(hours)
-            merged = spots if old is None else spots.unionByName(old)
-            best = dedup_spots(merged).select(*merged.columns)
-            # the hours are read and overwritten: the result is materialised before the write replaces its input
-            best = best.checkpoint() if old is not None else best
-            best.hint("rebalance", F.col("hour")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(self.path)
-        finally:
-            spots.unpersist()
-
-    def _stored(self, hours: list[str]) -> DataFrame | None:
-        try:
-            df = self.spark.read.option("basePath", self.path).parquet(self.path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        return df.withColumn("hour", F.col("hour").cast("string")).where(F.col("hour").isin(hours))
-
-    def read(self) -> DataFrame:
-        return as_spots(self.spark.read.parquet(self.path))
-
-
 def accumulate(reports: DataFrame, store: HourlyStore, checkpoint: str, on_flush: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Writes a stream of JSON payloads (column ``value``) into a store. ``on_flush`` gets each batch's counts by reason."""
+    """Writes a stream of JSON payloads (column ``value``) into a store. ``on_flush`` gets each batch's counts by reason, which
+    are taken while the batch is written."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_reports(batch)
-        store.upsert(parsed, batch_id)
-        if on_flush:
-            bad = parsed.where("parse_error is not null").groupBy(F.col("parse_error").alias("reason")).agg(F.count("*").alias("n"))
-            on_flush(reject_counts(as_spots(parsed.where("parse_error is null"))).unionByName(bad), batch_id)
+        counts = store.upsert(parse_reports(batch), batch_id, checkpoint)
+        if on_flush and counts:
+            on_flush(store.spark.createDataFrame(sorted(counts.items()), "reason string, n long"), batch_id)
 
     return reports.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 class MqttSource(DataSource):
-    """``spark.readStream.format("mqtt_reports").option("host", ...).option("bands", "20m,15m")``.
+    """``spark.readStream.format("mqtt_reports").option("host", ...).option("bands", "20m,15m").option("spool", ...)``.
 
-    A client that the cluster's Python has (paho) does the transport; without one, starting the stream says so.
+    ``spool`` is a folder beside the checkpoint, on a disk that outlasts the driver. A client that the cluster's Python has
+    (paho) does the transport; without one, starting the stream says so.
     """
 
     @classmethod
@@ -112,17 +72,21 @@ class MqttSource(DataSource):
 
 
 class MqttReader(SimpleDataSourceStreamReader):
-    """Counts messages from the offset that the query begins or goes on with; what arrives waits until it is committed.
+    """Numbers messages from the offset that the query begins or goes on with.
 
-    A broker doesn't repeat messages: those of a batch that was planned before a restart are only there if Spark has them.
+    A batch's messages are in the spool, and only then acknowledged to the broker, before Spark hears of their offsets: a
+    batch that was planned is read again after a crash, and what was received but not spooled comes again from the broker
+    (quality of service 1, a session that lasts). So every message is given at least once. Segments go once a batch is
+    committed. Without ``spool`` messages wait in memory, and those of a planned batch are lost in a crash.
     """
 
     def __init__(self, options: dict, client_factory: Callable | None = None):
         self.topics = [topic(b) for b in options.get("bands", "").split(",") if b]
         self.host, self.port = options.get("host", "localhost"), int(options.get("port", 1883))
+        self.client_id = options.get("client_id", "skywindow")
         self.make = client_factory
-        self.waiting: deque[str] = deque()
-        self.begin: int | None = None  # the offset of the first message that waits
+        self.log = Spool(options["spool"]) if options.get("spool") else MemoryLog()
+        self.waiting: deque[tuple] = deque()
         self.lock = threading.Lock()
         self.client = None
 
@@ -130,11 +94,11 @@ class MqttReader(SimpleDataSourceStreamReader):
         if self.client is not None:
             return
         if self.make is None:
-            from paho.mqtt.client import Client
+            from paho.mqtt.client import CallbackAPIVersion, Client
 
-            self.make = Client
+            self.make = lambda: Client(CallbackAPIVersion.VERSION2, client_id=self.client_id, clean_session=False, manual_ack=True)
         client = self.make()
-        client.on_connect = lambda c, *_: [c.subscribe(t) for t in self.topics]  # again on every reconnect
+        client.on_connect = lambda c, *_: [c.subscribe(t) if isinstance(self.log, MemoryLog) else c.subscribe(t, qos=1) for t in self.topics]  # again on every reconnect
         client.on_message = self._receive
         client.connect(self.host, self.port)
         client.loop_start()
@@ -142,28 +106,29 @@ class MqttReader(SimpleDataSourceStreamReader):
 
     def _receive(self, client, userdata, message) -> None:
         with self.lock:
-            self.waiting.append(message.payload.decode("utf-8", "replace"))
+            self.waiting.append((message.payload.decode("utf-8", "replace"), getattr(message, "mid", None), getattr(message, "qos", 0)))
 
-    def _between(self, start: int, end: int | None) -> list[str]:
+    def _store(self, start: int) -> None:
         with self.lock:
-            if self.begin is None:
-                self.begin = start if end is None else end
-            return list(islice(self.waiting, max(0, start - self.begin), None if end is None else max(0, end - self.begin)))
+            got = list(self.waiting)
+            self.log.append([text for text, _, _ in got], start)
+            self.waiting.clear()
+        for _, mid, qos in got:
+            if qos and hasattr(self.client, "ack"):
+                self.client.ack(mid, qos)
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         self._connect()
-        got = self._between(start["n"], None)
-        return iter([(x,) for x in got]), {"n": start["n"] + len(got)}
+        self._store(start["n"])
+        end = max(self.log.end, start["n"])
+        return iter([(x,) for x in self.log.read(start["n"], end)]), {"n": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self._between(start["n"], end["n"])])
+        return iter([(x,) for x in self.log.read(start["n"], end["n"])])
 
     def commit(self, end: dict) -> None:
         """What is committed is forgotten."""
-        with self.lock:
-            while self.begin is not None and self.begin < end["n"] and self.waiting:
-                self.waiting.popleft()
-                self.begin += 1
+        self.log.forget(end["n"])
