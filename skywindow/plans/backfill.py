@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from datetime import date, timedelta
+from datetime import date
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,24 +13,17 @@ from ..functions.hygiene import qualifying
 from ..operators.dedup import dedup_spots
 from ..schema import as_spots
 from ..sources.archives import read_archive
+from ..sources.listing import OBJECT, ArchiveObjects
 
 DONE, FAILED, REFUSED = 0, 1, 2
-#: Objects lie under ``raw/<day>/<hour>/<26 letters and digits>.ndjson.gz``; whatever else is listed isn't read (fixed layout).
-OBJECT = r"/raw/(\d{4}-\d{2}-\d{2})/([01]\d|2[0-3])/[0-9A-HJKMNP-TV-Z]{26}\.ndjson\.gz$"
 
 
 def archive_objects(spark: SparkSession, root: str, start: date, end: date) -> list[tuple[str, date]]:
-    """Path and day of each object of the half-open range of days; only those days' folders are listed."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    days = [start + timedelta(days=k) for k in range((end - start).days)]
-    found = []
-    for day in days:
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/raw/{day}/*/*")
-        for status in pattern.getFileSystem(conf).globStatus(pattern) or []:
-            path = status.getPath().toString()
-            if (m := re.search(OBJECT, path)) and m[1] == str(day):
-                found.append((path, day))
-    return found
+    """Path and day of each object of the half-open range of days; only those days' folders are listed, in tasks."""
+    spark.dataSource.register(ArchiveObjects)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("archive_objects").load(root).where((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(end)))
+    return [(r.path, r.day) for r in rows.select("day", "path").collect()]
 
 
 def archive_days(spark: SparkSession, objects: list[tuple[str, date]]) -> tuple[DataFrame, DataFrame]:

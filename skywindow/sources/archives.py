@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
-import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from ..functions.hygiene import judged as judge
 from ..functions.hygiene import qualifying, reject_counts, without_skimmer
 from ..operators.dedup import dedup_spots
 from ..schema import WSPR_BAND_CODES, as_spots, literal_map
+from .listing import ZippedCsv
 
 RBN_COLUMNS = ("callsign", "de_pfx", "de_cont", "freq", "band", "dx", "dx_pfx", "dx_cont", "mode", "db", "date", "speed", "tx_mode")
 AUTOMATIC_SOURCES = ("pskreporter", "rbn")
@@ -48,29 +45,11 @@ def read_wsprnet(spark: SparkSession, path: str, bands: Iterable[str] | None = N
     return out if bands is None else out.where(F.col("band").isin(*bands) | F.col("parse_error").isNotNull())
 
 
-def _unzip(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First CSV member of each archive, a batch of lines at a time."""
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                names = [n for n in z.namelist() if n.lower().endswith(".csv")]
-                if not names:
-                    raise ValueError(f"no .csv member in {path}")
-                with z.open(names[0]) as f:
-                    rows = csv.DictReader(io.TextIOWrapper(f, "utf-8", "replace"))
-                    batch = []
-                    for row in rows:
-                        batch.append([row.get(c) for c in RBN_COLUMNS])
-                        if len(batch) == 50_000:
-                            yield pd.DataFrame(batch, columns=list(RBN_COLUMNS))
-                            batch = []
-                    yield pd.DataFrame(batch, columns=list(RBN_COLUMNS))
-
-
 def read_rbn(spark: SparkSession, path: str, prefixes: DataFrame, bands: Iterable[str] | None = None) -> DataFrame:
-    """Daily archives, zipped or plain CSV with a header. ``prefixes`` (prefix, lat, lon) places calls by longest prefix."""
+    """Daily archives, zipped (see ``ZippedCsv``) or plain CSV with a header. ``prefixes`` places calls (see ``place_calls``)."""
     if path.endswith(".zip"):
-        raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unzip, ", ".join(f"{c} string" for c in RBN_COLUMNS))
+        spark.dataSource.register(ZippedCsv)
+        raw = spark.read.format("zipped_csv").schema(", ".join(f"{c} string" for c in RBN_COLUMNS)).load(path)
     else:
         raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in RBN_COLUMNS))
     if bands is not None:
@@ -87,13 +66,16 @@ def read_rbn(spark: SparkSession, path: str, prefixes: DataFrame, bands: Iterabl
     return rows.withColumn("parse_error", F.when(bad, "unparsed"))
 
 
-def place_calls(rows: DataFrame, prefixes: DataFrame, call: str, lat: str, lon: str, longest: int = 6) -> DataFrame:
-    """Adds the place of the longest prefix that a call begins with; null if there is none.
+def place_calls(rows: DataFrame, prefixes: DataFrame, call: str, lat: str, lon: str) -> DataFrame:
+    """Adds the place of a call: that of the call itself where ``prefixes`` (prefix, lat, lon) has it as ``=<call>``, else of
+    the longest prefix that it begins with; null if there is none.
 
-    Each distinct call looks its prefixes up by equality, so the table may be of any size.
+    Each distinct call is looked up by equality with all that it begins with, so the table may be of any size and prefixes of
+    any length.
     """
-    calls = rows.select(F.col(call).alias("_call")).where("_call is not null").distinct()
-    tries = calls.select("_call", F.explode(F.sequence(F.lit(1), F.least(F.length("_call"), F.lit(longest)))).alias("_k")).withColumn("prefix", F.expr("substr(_call, 1, _k)"))
+    calls = rows.select(F.col(call).alias("_call")).where("_call <> ''").distinct()
+    tries = calls.select("_call", F.explode(F.sequence(F.lit(1), F.length("_call") + 1)).alias("_k"))
+    tries = tries.withColumn("prefix", F.when(F.col("_k") > F.length("_call"), F.concat(F.lit("="), "_call")).otherwise(F.expr("substr(_call, 1, _k)")))
     best = tries.join(prefixes.select("prefix", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "prefix").groupBy("_call").agg(F.max_by(F.struct("_lat", "_lon"), "_k").alias("_p"))
     return rows.join(best, rows[call] == best["_call"], "left").select(*rows.columns, F.col("_p._lat").alias(lat), F.col("_p._lon").alias(lon))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,16 @@ def read_definitive_kp(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(n(9) == 1).select(F.timestamp_seconds(F.unix_seconds(day) + (n(3) * 3600).cast("long")).alias("block_start"), n(7).alias("kp"))
 
 
-def read_ssn(spark: SparkSession, path: str) -> DataFrame:
-    """``month, ssn`` from a JSON list: the smoothed number, or the observed one where it is not out yet."""
+def read_ssn(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
+    """``month, ssn`` from a JSON list: the smoothed number, or the observed one where it is not out yet.
+
+    With ``months`` (``YYYY-MM``) only those; one that isn't in the list is an error.
+    """
     raw = spark.read.schema("`time-tag` string, ssn double, smoothed_ssn double").option("multiLine", True).json(path)
-    return raw.select(F.col("time-tag").alias("month"), F.when(F.col("smoothed_ssn") >= 0, F.col("smoothed_ssn")).otherwise(F.col("ssn")).alias("ssn"))
+    series = raw.select(F.col("time-tag").alias("month"), F.when(F.col("smoothed_ssn") >= 0, F.col("smoothed_ssn")).otherwise(F.col("ssn")).alias("ssn"))
+    if months is None:
+        return series
+    asked = spark.createDataFrame([(m,) for m in sorted(set(months))], "month string")
+    known = asked.join(series.withColumn("_there", F.lit(True)), "month", "left")
+    gone = F.raise_error(F.concat(F.lit("no sunspot number for "), F.col("month")))
+    return known.where(F.when(F.col("_there"), F.lit(True)).otherwise(gone.cast("boolean"))).select("month", "ssn")
