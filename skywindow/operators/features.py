@@ -54,11 +54,15 @@ def add_geometry(labels: DataFrame) -> DataFrame:
 
 
 def add_solar(labels: DataFrame) -> DataFrame:
-    """Needs the geometry columns."""
+    """Needs the geometry columns. The sun is worked out once for each path and window, whatever the bands."""
+    pair = ["tx_field", "rx_field", "window_start"]
     when = F.unix_seconds("window_start")
-    out = labels.withColumns({f"{p}_solar_zenith": zenith(F.col(f"{p}_lat"), F.col(f"{p}_lon"), when) for p in ("midpoint", "tx_control", "rx_control")})
+    places = [f"{p}_{x}" for p in ("midpoint", "tx_control", "rx_control") for x in ("lat", "lon")]
+    out = labels.select(*pair, *places).distinct()
+    out = out.withColumns({f"{p}_solar_zenith": zenith(F.col(f"{p}_lat"), F.col(f"{p}_lon"), when) for p in ("midpoint", "tx_control", "rx_control")})
     lit = sum(((F.col(f"{p}_solar_zenith") < DAY_ZENITH).cast("int") for p in ("tx_control", "rx_control")), (F.col("midpoint_solar_zenith") < DAY_ZENITH).cast("int"))
-    return out.withColumns({"path_daylight_fraction": lit / F.lit(3.0), "midpoint_hours_since_terminator": hours_since_terminator(F.col("midpoint_lat"), F.col("midpoint_lon"), when)})
+    sun = out.withColumns({"path_daylight_fraction": lit / F.lit(3.0), "midpoint_hours_since_terminator": hours_since_terminator(F.col("midpoint_lat"), F.col("midpoint_lon"), when)})
+    return labels.join(sun.select(*pair, *SOLAR_COLUMNS), pair, "left").select(*labels.columns, *SOLAR_COLUMNS)
 
 
 def _slots(series: DataFrame, strict: bool) -> DataFrame:
@@ -74,28 +78,38 @@ def _slots(series: DataFrame, strict: bool) -> DataFrame:
     return spread.groupBy("slot").agg(F.max_by(F.struct(*values), "t").alias("v"))
 
 
-def add_space_weather(labels: DataFrame, hourly: DataFrame, horizon_hours: float = 0.0) -> DataFrame:
-    """Space weather as known at the window less the horizon; the row matched decides, a null in it stays null.
-
-    ``f107_daily`` takes rows before the time only: the day's value is not out yet. Horizons are whole quarters of an hour.
-    """
+def _seconds(horizon_hours: float) -> int:
     if (horizon_hours * 4) % 1:
         raise ValueError("horizon_hours must be a multiple of a quarter")
+    return int(horizon_hours * 3600)
+
+
+def _space_at(rows: DataFrame, hourly: DataFrame) -> DataFrame:
+    """Adds the space weather that is known at ``_at``."""
     t = F.unix_seconds("time")
     # the 27-day mean needs all rows in order; the series is a row an hour, so one ordered window holds it
     trailing = Window.orderBy(t).rangeBetween(-SMOOTHED_S, -1)
     series = hourly.select("time", "kp", "f107", "bz_gsm", "solar_wind_speed", "dst").withColumn("smoothed", F.avg("f107").over(trailing))
     loose, strict = _slots(series, False), _slots(series.select("time", "f107"), True)
-    at = F.unix_seconds("window_start") - int(horizon_hours * 3600)
-    out = labels.withColumn("_at", at)
     # one row a slot with all lags resolved, so that the labels are joined once
-    slots = out.select("_at").distinct()
-    known = slots
+    known = rows.select("_at").distinct()
     for name, lag in (("now", 0), *((f"lag{h}h", h) for h in KP_LAGS)):
         take = [F.col("v.kp").alias(f"kp_{name}")] + ([F.col("v.bz_gsm").alias("bz_gsm_now"), F.col("v.solar_wind_speed").alias("solar_wind_speed_now"), F.col("v.dst").alias("dst_now"), F.col("v.smoothed").alias("f107_smoothed_27d")] if not lag else [])
         known = known.join(loose.select((F.col("slot") + lag * 3600).alias("_at"), *take), "_at", "left")
     known = known.join(strict.select(F.col("slot").alias("_at"), F.col("v.f107").alias("f107_daily")), "_at", "left")
-    return out.join(known.select("_at", *SPACE_COLUMNS), "_at").drop("_at")
+    return rows.join(known.select("_at", *SPACE_COLUMNS), "_at").select(*rows.columns, *SPACE_COLUMNS)
+
+
+def _known_at(labels: DataFrame, horizon_hours: float) -> DataFrame:
+    return labels.withColumn("_at", F.unix_seconds("window_start") - _seconds(horizon_hours))
+
+
+def add_space_weather(labels: DataFrame, hourly: DataFrame, horizon_hours: float = 0.0) -> DataFrame:
+    """Space weather as known at the window less the horizon; the row matched decides, a null in it stays null.
+
+    ``f107_daily`` takes rows before the time only: the day's value is not out yet. Horizons are whole quarters of an hour.
+    """
+    return _space_at(_known_at(labels, horizon_hours), hourly).drop("_at")
 
 
 def adjacent_bands(band: str) -> list[str]:
@@ -125,43 +139,81 @@ def _stats(prefix: str, num=lambda lb: F.col(f"num_{lb}"), den=lambda lb: F.col(
     return counts + [(F.when(den(lb) > 0, num(lb) / den(lb)) if lb in live else F.lit(None).cast("double")).alias(f"{prefix}_snr_{lb}") for lb in LOOKBACKS]
 
 
-def add_history(history: DataFrame, labels: DataFrame, horizon_hours: float = 0.0) -> DataFrame:
-    """What was heard before the window less the horizon, on the same, the reverse and neighbouring paths.
+def _asks(relations: tuple[str, ...]):
+    """The paths that a cell asks about, as ``relation, tx, rx, b``."""
+    path = lambda r, tx, rx, b: F.struct(F.lit(r).alias("relation"), tx.alias("tx"), rx.alias("rx"), b.alias("b"))
+    tx, rx, band = F.col("tx_field"), F.col("rx_field"), F.col("band")
+    band_map = literal_map({b: ",".join(adjacent_bands(b)) for b in BANDS})
+    of = {
+        "same_cell": lambda: F.array(path("same_cell", tx, rx, band)),
+        "reverse_path": lambda: F.array(path("reverse_path", rx, tx, band)),
+        "adjacent_band": lambda: F.transform(F.split(F.element_at(band_map, band), ","), lambda b: path("adjacent_band", tx, rx, b)),
+        "adjacent_cell": lambda: F.transform(neighbors(rx), lambda r: path("adjacent_cell", tx, r, band)),
+    }
+    return F.concat(*[of[r]() for r in relations])
+
+
+def _path_history(points: DataFrame, past: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """The statistics of the asked relations at distinct points ``tx_field, rx_field, band, _at``.
 
-    Data count once they are 20 minutes old. All relations of a path are looked up in one pass: anchors of every relation
-    join the history rows of the path that they ask about, and one range frame by lookback serves them all. Numerators
-    and denominators of neighbours are pooled and divided once. The 15-minute lookback is empty by construction.
+    Points of every relation are dealt to the path that they ask about and grouped by time there, so that a path's frames run
+    over one row a time, however many cells, relations and horizons ask about it. Numerators and denominators of neighbours
+    are pooled and divided once.
     """
-    shift = int(horizon_hours * 3600)
+    who = F.struct("ask.relation", "tx_field", "rx_field", "band")
+    asked = points.select("*", F.explode(_asks(relations)).alias("ask")).select("ask.tx", "ask.rx", "ask.b", F.col("_at").alias("t"), who.alias("who"))
+    rows = asked.unionByName(past, allowMissingColumns=True).repartition("tx", "rx", "b")
+    rows = rows.groupBy("tx", "rx", "b", "t").agg(*[F.sum(c).alias(c) for c in ("n", "num", "den")], F.collect_list("who").alias("who"))
+    summed = _window_sums(rows, ["tx", "rx", "b"]).where(F.size("who") > 0)
+    live = [lb for lb, s in LOOKBACKS.items() if s > AVAILABLE_S]
+    each = summed.select(F.explode("who").alias("who"), F.col("t").alias("_at"), *[f"{c}_{lb}" for c in ("n", "num", "den") for lb in live])
+    pooled = each.groupBy("who.tx_field", "who.rx_field", "who.band", "_at").agg(*[F.sum(F.when(F.col("who.relation") == r, F.col(f"{c}_{lb}"))).alias(f"{r}_{c}_{lb}") for r in relations for c in ("n", "num", "den") for lb in live])
+    return pooled.select("tx_field", "rx_field", "band", "_at", *[x for r in relations for x in _stats(r, *[(lambda lb, r=r, c=c: F.col(f"{r}_{c}_{lb}")) for c in ("num", "den", "n")])])
+
+
+def _history_at(rows: DataFrame, history: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """Adds what had been heard by ``_at``. Points of several horizons that fall together are looked up once."""
     sec = F.unix_seconds("window_start")
     weight = F.when(F.col("snr_ft8eq_p50").isNotNull(), F.col("n_spots")).otherwise(0)
-    past = history.select("tx_field", "rx_field", "band", sec.alias("t"), F.col("n_spots").cast("long").alias("n"), (F.col("n_spots") * F.coalesce("snr_ft8eq_p50", F.lit(0.0))).alias("num"), weight.cast("long").alias("den"))
-    cells = labels.select(*CELL).distinct()
-    band_map = literal_map({b: ",".join(adjacent_bands(b)) for b in BANDS})
-    asks = F.concat(
-        F.array(F.struct(F.lit("same_cell").alias("relation"), F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), F.col("band").alias("b"))),
-        F.array(F.struct(F.lit("reverse_path").alias("relation"), F.col("rx_field").alias("tx"), F.col("tx_field").alias("rx"), F.col("band").alias("b"))),
-        F.transform(F.split(F.element_at(band_map, F.col("band")), ","), lambda b: F.struct(F.lit("adjacent_band").alias("relation"), F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), b.alias("b"))),
-        F.transform(neighbors(F.col("rx_field")), lambda r: F.struct(F.lit("adjacent_cell").alias("relation"), F.col("tx_field").alias("tx"), r.alias("rx"), F.col("band").alias("b"))),
-    )
-    anchors = cells.select(*CELL, F.explode(asks).alias("ask")).select(*CELL, "ask.*").withColumn("t", sec - shift)
-    rows = anchors.unionByName(past.select(F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), F.col("band").alias("b"), "t", "n", "num", "den"), allowMissingColumns=True)
-    summed = _window_sums(rows, ["tx", "rx", "b"]).where("relation is not null")
-    live = [lb for lb, s in LOOKBACKS.items() if s > AVAILABLE_S]
-    pooled = summed.groupBy(*CELL).agg(*[F.sum(F.when(F.col("relation") == r, F.col(f"{c}_{lb}"))).alias(f"{r}_{c}_{lb}") for r in RELATIONS[:4] for c in ("n", "num", "den") for lb in live])
-    by_band = history.groupBy("band", sec.alias("t")).agg(F.sum("n_spots").cast("long").alias("n"), F.avg("snr_ft8eq_p50").alias("snr"))
-    by_band = by_band.select("band", "t", "n", (F.col("n") * F.coalesce("snr", F.lit(0.0))).alias("num"), F.when(F.col("snr").isNotNull(), F.col("n")).otherwise(0).cast("long").alias("den"))
-    marks = cells.select("band", (sec - shift).alias("t")).distinct().withColumn("mark", F.lit(True))
-    band_sums = _window_sums(by_band.unionByName(marks, allowMissingColumns=True), ["band"]).where("mark")
-    band_wide = band_sums.select("band", F.col("t").alias("_at"), *_stats("band_wide"))
-    relations = pooled.select(*CELL, *[x for r in RELATIONS[:4] for x in _stats(r, *[(lambda lb, r=r, c=c: F.col(f"{r}_{c}_{lb}")) for c in ("num", "den", "n")])])
-    before = history.select(F.timestamp_seconds(sec + 86400 + shift).alias("window_start"), "tx_field", "rx_field", "band", F.col("open").alias("same_hour_yesterday_open"))
-    out = labels.join(relations, CELL, "left").join(before, CELL, "left").withColumn("_at", sec - shift).join(band_wide, ["band", "_at"], "left")
-    return out.select(*labels.columns, *HISTORY_COLUMNS)
+    past = history.select(F.col("tx_field").alias("tx"), F.col("rx_field").alias("rx"), F.col("band").alias("b"), sec.alias("t"), F.col("n_spots").cast("long").alias("n"), (F.col("n_spots") * F.coalesce("snr_ft8eq_p50", F.lit(0.0))).alias("num"), weight.cast("long").alias("den"))
+    point = ["tx_field", "rx_field", "band", "_at"]
+    points, out = rows.select(*point).distinct(), rows
+    of_path = tuple(r for r in RELATIONS[:4] if r in relations)
+    if of_path:
+        out = out.join(_path_history(points, past, of_path), point, "left")
+    if "band_wide" in relations:
+        by_band = history.groupBy("band", sec.alias("t")).agg(F.sum("n_spots").cast("long").alias("n"), F.avg("snr_ft8eq_p50").alias("snr"))
+        by_band = by_band.select("band", "t", "n", (F.col("n") * F.coalesce("snr", F.lit(0.0))).alias("num"), F.when(F.col("snr").isNotNull(), F.col("n")).otherwise(0).cast("long").alias("den"))
+        marks = rows.select("band", F.col("_at").alias("t")).distinct().withColumn("mark", F.lit(True))
+        band_sums = _window_sums(by_band.unionByName(marks, allowMissingColumns=True), ["band"]).where("mark")
+        out = out.join(band_sums.select("band", F.col("t").alias("_at"), *_stats("band_wide")), ["band", "_at"], "left")
+    if "yesterday" in relations:
+        before = history.select("tx_field", "rx_field", "band", (sec + 86400).alias("_at"), F.col("open").alias("same_hour_yesterday_open"))
+        out = out.join(before, point, "left")
+    return out.select(*rows.columns, *[c for c in HISTORY_COLUMNS if any(c.startswith(r) for r in relations) or ("yesterday" in relations and c == "same_hour_yesterday_open")])
+
+
+def add_history(history: DataFrame, labels: DataFrame, horizon_hours: float = 0.0, relations: tuple[str, ...] = (*RELATIONS, "yesterday")) -> DataFrame:
+    """What was heard before the window less the horizon, on the same, the reverse and neighbouring paths.
 
+    Data count once they are 20 minutes old; the 15-minute lookback is empty by construction. Only the columns of the asked
+    ``relations`` are added.
+    """
+    return _history_at(_known_at(labels, horizon_hours), history, tuple(relations)).drop("_at")
 
-def feature_matrix(labels: DataFrame, history: DataFrame, hourly: DataFrame, horizon_hours: float = 0.0) -> DataFrame:
-    """Labels with all of ``FEATURE_COLUMNS``. Time, path and sun stay at the target window: they are known in advance."""
+
+def feature_matrices(labels: DataFrame, history: DataFrame, hourly: DataFrame, horizons: tuple[float, ...]) -> DataFrame:
+    """Labels with all of ``FEATURE_COLUMNS`` for each horizon, told apart by ``horizon_hours``, in one plan.
+
+    Time, path and sun stay at the target window, as they are known in advance: they are worked out once. What is known
+    depends on the time alone at which it is asked for, so that horizons share it where their times meet.
+    """
     out = add_band(add_solar(add_geometry(add_time(labels))))
-    out = add_space_weather(out, hourly, horizon_hours)
-    return add_history(history, out, horizon_hours)
+    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("horizon_hours"), F.lit(_seconds(h)).cast("long").alias("s")) for h in horizons]))
+    out = out.withColumn("h", each).select("*", "h.horizon_hours", (F.unix_seconds("window_start") - F.col("h.s")).alias("_at")).drop("h")
+    return _history_at(_space_at(out, hourly), history, (*RELATIONS, "yesterday")).drop("_at")
+
+
+def feature_matrix(labels: DataFrame, history: DataFrame, hourly: DataFrame, horizon_hours: float = 0.0) -> DataFrame:
+    """``feature_matrices`` of one horizon, without its column."""
+    return feature_matrices(labels, history, hourly, (horizon_hours,)).drop("horizon_hours")

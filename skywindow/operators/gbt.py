@@ -1,24 +1,18 @@
-"""Boosted trees with isotonic calibration, as a pyspark.ml chain."""
+"""Boosted trees with isotonic calibration."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boosting import HistogramBoosting, Params
 from .features import FEATURE_COLUMNS
+from .isotonic import Isotonic
 
 #: Shared by trees and calibration: the last part of the training time.
 TAIL_SHARE = 0.15
-#: Trees don't take missing values: they become this, below all real values, plus an indicator column.
-MISSING = -999.0
-SEED = 42
 
 
 def tail_start(labels: DataFrame, share: float = TAIL_SHARE) -> DataFrame:
@@ -29,58 +23,45 @@ def tail_start(labels: DataFrame, share: float = TAIL_SHARE) -> DataFrame:
 
 
 class GBT:
-    """``fit`` then ``predict``; ``save`` and ``load`` refuse a model of other features."""
+    """``fit`` then ``predict``; ``save`` and ``load`` refuse a model of other features.
 
-    def __init__(self, features: list[str] | None = None, trees: int = 60, depth: int = 5, nullable: list[str] | None = None):
-        self.features = list(features or FEATURE_COLUMNS)
-        self.nullable = [f for f in self.features if "snr" in f or "kp" in f or "f107" in f or f in ("bz_gsm_now", "solar_wind_speed_now", "dst_now", "same_hour_yesterday_open")] if nullable is None else nullable
-        self.trees, self.depth = trees, depth
-        self.model: PipelineModel | None = None
-        self.calibration = None
+    Trees learn from the rows before the tail, the tail decides when to stop and is what calibration learns from. Sample
+    weights count in both. ``more`` overrides single values of ``boosting.Params``.
+    """
 
-    def _inputs(self, df: DataFrame) -> DataFrame:
-        cols = [F.coalesce(F.col(f).cast("double"), F.lit(MISSING)).alias(f"_x_{f}") for f in self.features] + [F.col(f).isNull().cast("double").alias(f"_m_{f}") for f in self.nullable]
-        return df.select("*", *cols)
+    def __init__(self, features: list[str] | None = None, **more):
+        self.features = list(features or FEATURE_COLUMNS)
+        self.params = Params(**more)
+        self.model: HistogramBoosting | None = None
+        self.calibration: Isotonic | None = None
 
     def fit(self, df: DataFrame) -> GBT:
         weight = F.col("sample_weight").cast("double") if "sample_weight" in df.columns else F.lit(1.0)
         late = tail_start(df)
-        rows = self._inputs(df).crossJoin(F.broadcast(late)).select(  # one row
-            *[f"_x_{f}" for f in self.features], *[f"_m_{f}" for f in self.nullable], F.col("open").cast("double").alias("_y"), weight.alias("_w"), (F.col("window_start") >= F.col("tail_start")).alias("_late")
+        rows = df.crossJoin(F.broadcast(late)).select(  # one row
+            *[F.col(c).cast("double").alias(c) for c in self.features], F.col("open").cast("double").alias("_y"), weight.alias("_w"), (F.col("window_start") >= F.col("tail_start")).alias("_late")
         )
-        chain = [
-            VectorAssembler(inputCols=[f"_x_{f}" for f in self.features] + [f"_m_{f}" for f in self.nullable], outputCol="_f"),
-            GBTClassifier(featuresCol="_f", labelCol="_y", weightCol="_w", validationIndicatorCol="_late", maxIter=self.trees, maxDepth=self.depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED, predictionCol="_c"),
-        ]
-        from pyspark.ml import Pipeline
-
-        self.model = Pipeline(stages=chain).fit(rows)
-        tail = self.model.transform(rows.where("_late")).select(F.element_at(vector_to_array("probability"), 2).alias("_raw"), "_y", "_w")
-        self.calibration = IsotonicRegression(featuresCol="_raw", labelCol="_y", weightCol="_w", predictionCol="p_open").fit(tail)
+        self.model = HistogramBoosting(self.features, self.params).fit(rows, "_y", "_w", "_late")
+        self.calibration = Isotonic().fit(self.model.predict(rows.where("_late"), "_raw"), "_raw", "_y", "_w")
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None or self.calibration is None:
             raise RuntimeError("predict before fit")
-        scored = self.model.transform(self._inputs(df)).withColumn("_raw", F.element_at(vector_to_array("probability"), 2))
-        out = self.calibration.transform(scored)
-        return out.select(*df.columns, F.least(F.greatest("p_open", F.lit(0.0)), F.lit(1.0)).alias("p_open"))
+        out = self.calibration.predict(self.model.predict(df, "_raw"), "_raw", "_p")
+        return out.select(*df.columns, F.col("_p").alias("p_open"))
 
     def save(self, spark, path: str) -> None:
         if self.model is None or self.calibration is None:
             raise RuntimeError("save before fit")
-        self.model.write().overwrite().save(f"{path}/trees")
-        self.calibration.write().overwrite().save(f"{path}/calibration")
-        meta = json.dumps({"features": self.features, "nullable": self.nullable})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        text = json.dumps({"features": self.features, "trees": self.model.to_dict(), "calibration": {"x": self.calibration.x, "y": self.calibration.y}})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark, path: str, features: list[str] | None = None) -> GBT:
-        from pyspark.ml.regression import IsotonicRegressionModel
-
-        meta = json.loads(spark.read.text(f"{path}/meta").first().value)
-        if meta["features"] != list(features or FEATURE_COLUMNS):
+        d = json.loads(spark.read.text(path).first().value)
+        if d["features"] != list(features or FEATURE_COLUMNS):
             raise ValueError("the saved model has other features")
-        out = cls(meta["features"], nullable=meta["nullable"])
-        out.model, out.calibration = PipelineModel.load(f"{path}/trees"), IsotonicRegressionModel.load(f"{path}/calibration")
+        out = cls(d["features"], **d["trees"]["params"])
+        out.model, out.calibration = HistogramBoosting.from_dict(d["trees"]), Isotonic(d["calibration"]["x"], d["calibration"]["y"])
         return out

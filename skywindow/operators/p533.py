@@ -5,18 +5,22 @@ The engine's coefficient files are not public here, so the scorer is a function
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_lat, grid_lon
 from ..schema import DIAL_MHZ, EARTH_KM, literal_map
 
 KEY = ["tx_field", "rx_field", "band", "month", "hour", "ssn_round"]
+_KEY_TYPES = ("string", "string", "string", "int", "int", "int")
+#: Buckets of the score cache. A reader must know the number that it was written with.
+BUCKETS = 64
 NOISE_WATTS_DB = 204.0
 # Hour-to-hour deciles of the signal.
 HOUR_UPPER_DB, HOUR_LOWER_DB = 5.0, 8.0
@@ -62,11 +66,34 @@ def with_keys(labels: DataFrame, ssn: DataFrame) -> DataFrame:
     return rows.drop("_month").withColumns({"month": F.month("window_start"), "hour": F.hour("window_start")})
 
 
+class ScoreCache:
+    """Scores by key as a bucketed table at ``path``: asked keys are dealt to the buckets, the cache stays where it is.
+
+    The files are all that lasts: the table is declared anew in each session, over what is there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.name = "scores_" + hashlib.md5(f"{self.path} {buckets}".encode()).hexdigest()
+        columns = ", ".join(f"{k} {t}" for k, t in zip(KEY, _KEY_TYPES, strict=True))
+        where = self.path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, bcr double) USING parquet CLUSTERED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{where}'")
+
+    def read(self) -> DataFrame:
+        """One row a key. Rows of one bucket are in one task already, so that nothing is shuffled."""
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name).groupBy(*KEY).agg(F.max("bcr").alias("bcr"))
+
+    def add(self, scored: DataFrame) -> None:
+        """Scores of new keys; the task that has a bucket's keys writes its file."""
+        scored.select(*KEY, "bcr").repartition(self.buckets, *KEY).write.insertInto(self.name)
+
+
 class KeyedScorer:
     """Scores each distinct key once. ``scorer(keys) -> list of reliability in per cent, or None`` is called by partition.
 
-    ``cache`` is the path of a Parquet table of scores: known keys are not scored again, new ones are appended. Null means
-    that the model abstains: an engine error, a missing sunspot number, or a band above 30 MHz.
+    ``cache`` is the path of a bucketed table of scores (see ``ScoreCache``): known keys are not scored again, new ones are
+    added. Null means that the model abstains: an engine error, a missing sunspot number, or a band above 30 MHz.
     """
 
     def __init__(self, scorer: Callable[[pd.DataFrame], list], ssn: DataFrame, cache: str | None = None):
@@ -85,23 +112,23 @@ class KeyedScorer:
         mhz = F.element_at(literal_map(DIAL_MHZ), F.col("band"))
         asked = keys.select(*KEY, mhz.alias("mhz"), *[c(F.col(f"{s}_field")).alias(f"{s}_{n}") for s in ("tx", "rx") for n, c in (("lat", grid_lat), ("lon", grid_lon))])
         asked = asked.where("ssn_round is not null and mhz between 1 and 30")
-        return asked.mapInPandas(run, "tx_field string, rx_field string, band string, month int, hour int, ssn_round int, bcr double")
+        return asked.mapInPandas(run, ", ".join(f"{k} {t}" for k, t in zip(KEY, _KEY_TYPES, strict=True)) + ", bcr double")
+
+    def missing(self, rows: DataFrame, cache: ScoreCache) -> DataFrame:
+        """The distinct keys of ``with_keys`` rows that the cache doesn't have."""
+        asked = rows.select(*KEY).where("ssn_round is not null").distinct().repartition(cache.buckets, *KEY)
+        return asked.join(cache.read().select(*KEY).hint("shuffle_merge"), KEY, "left_anti")
 
     def predict(self, df: DataFrame) -> DataFrame:
         rows = with_keys(df, self.ssn)
-        keys = rows.select(*KEY).distinct()
         if self.cache is None:
-            scored = self._score(keys)
-        else:
-            spark = df.sparkSession
-            try:
-                known = spark.read.parquet(self.cache)
-                keys = keys.join(known, KEY, "left_anti")
-            except Exception as e:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            self._score(keys).write.mode("append").parquet(self.cache)
-            scored = spark.read.parquet(self.cache).dropDuplicates(KEY)
+            return self._joined(df, rows, self._score(rows.select(*KEY).distinct()))
+        cache = ScoreCache(df.sparkSession, self.cache)
+        cache.add(self._score(self.missing(rows, cache)))
+        return self._joined(df, rows.repartition(cache.buckets, *KEY), cache.read().hint("shuffle_merge"))
+
+    @staticmethod
+    def _joined(df: DataFrame, rows: DataFrame, scored: DataFrame) -> DataFrame:
         return rows.join(scored, KEY, "left").select(*df.columns, (F.col("bcr") / 100).alias("p_open"))
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.hygiene import qualifying
 from ..operators.climatology import Climatology
 from ..operators.dedup import dedup_spots
-from ..operators.features import feature_matrix
+from ..operators.features import feature_matrices
 from ..operators.labels import labels as build_labels
 from ..operators.metrics import scores, slice_scores
 from ..schema import HORIZONS_H, union_spots
+from .tables import staged
 
 
 def clean_spots(*sources: DataFrame) -> DataFrame:
@@ -24,8 +25,9 @@ def label_plan(*sources: DataFrame) -> DataFrame:
 
 
 def horizon_matrices(labels: DataFrame, hourly: DataFrame, horizons=HORIZONS_H) -> dict[float, DataFrame]:
-    """A feature matrix for each horizon; what doesn't depend on the horizon is the same plan in each."""
-    return {h: feature_matrix(labels, labels, hourly, h) for h in horizons}
+    """A feature matrix for each horizon, out of one table that all share."""
+    every = staged(feature_matrices(labels, labels, hourly, tuple(horizons)))
+    return {h: every.where(F.col("horizon_hours") == float(h)).drop("horizon_hours") for h in horizons}
 
 
 def climatology_report(train: DataFrame, evaluation: DataFrame) -> DataFrame:

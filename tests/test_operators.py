@@ -234,7 +234,7 @@ def test_boosted_trees(spark, tmp_path):
 
     rows = [(at(h % 90, 15 * (h % 4)), "FN", "DM", "20m", 1, float(h % 10), int(h % 10 > 4)) for h in range(400)]
     cells = spark.createDataFrame(rows, CELLS).withColumn("kp_now", F.when(F.col("snr_ft8eq_p50") > 0, F.col("snr_ft8eq_p50")))
-    model = GBT(["kp_now", "n_spots"], trees=5, depth=3).fit(cells)
+    model = GBT(["kp_now", "n_spots"], trees=40, leaves=8, rate=0.3, least_rows=20).fit(cells)
     assert metrics.scores(model.predict(cells)).first().brier < 0.1
     model.save(spark, str(tmp_path / "m"))
     again = GBT.load(spark, str(tmp_path / "m"), ["kp_now", "n_spots"])
