@@ -292,14 +292,13 @@ def _long_phrases(kept):
     return picked
 
 
-def _counts(short_kept, long_kept):
-    """Rows ``lang, k, phrase, f``: exact counts of a slice; ``k`` = 0 has the number of all its words."""
+def _counts(short_kept, long_kept, log_parts: int):
+    """Rows ``lang, part, phrases, counts``: exact counts of a slice, the phrases as lines; the empty one has all its words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "k", "phrase", "f"]
         for s in _slices(batches):
             langs, n = np.unique(s.lang, return_counts=True)
-            yield pa.RecordBatch.from_arrays([s.langs.take(pa.array(langs)).cast(pa.string()), pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(n.astype(np.int64))], names)
+            rows = [(langs, np.zeros(len(langs), np.int64), pa.array([""] * len(langs), pa.large_string()), n)]
             # phrases are told apart by the numbers of their words, each longer one by that of its beginning and one word more
             size, code, before = max(len(s.words), 1), s.lang, None
             for k in range(1, LONGEST + 1):
@@ -311,11 +310,54 @@ def _counts(short_kept, long_kept):
                 head = at[first]
                 words = [s.words.take(pa.array(s.id[head + j])).cast(pa.large_string()) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if k > 1 else words[0]
-                for a in range(0, len(head), 10_000):
-                    part = slice(a, a + 10_000)
-                    yield pa.RecordBatch.from_arrays([s.langs.take(pa.array(s.lang[head[part]])).cast(pa.string()), pa.array(np.full(len(f[part]), k, np.int32)), phrase[part].cast(pa.string()), pa.array(f[part].astype(np.int64))], names)
+                rows.append((s.lang[head], (s.hashes(k, head) >> U(64 - log_parts)).astype(np.int64), phrase, f))
                 before, code = hit, np.zeros(len(s.id), np.int64)
                 code[at] = number
+            lang, part, f = (np.concatenate([r[i] for r in rows]) for i in (0, 1, 3))
+            order = np.lexsort((part, lang))
+            phrase = pa.concat_arrays([r[2] for r in rows]).take(pa.array(order))
+            lang, part, f = lang[order], part[order], f[order].astype("<i8")
+            at = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (part[1:] != part[:-1])]))
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(at, len(f))), phrase)
+            lines = pc.binary_join(lists, pa.scalar("\n", pa.large_string()))
+            counts = [f[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(f)], strict=True)]
+            yield pa.RecordBatch.from_arrays([s.langs.take(pa.array(lang[at])).cast(pa.string()), pa.array(part[at].astype(np.int32)), lines.cast(pa.string()), pa.array(counts, pa.binary())], ["lang", "part", "phrases", "counts"])
+
+    return run
+
+
+def _totals(least: int):
+    """The sums by language and phrase of rows that come in the order of ``lang, part``: those of ``least`` or more."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("phrase").aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, size = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            out = summed(waiting)
+            out = out.filter(pc.or_(pc.greater_equal(out["f"], least), pc.equal(out["phrase"], "")))
+            k = pc.if_else(pc.equal(out["phrase"], ""), 0, pc.add(pc.count_substring(out["phrase"], " "), 1)).cast(pa.int32())
+            table = pa.table([pa.array([key[0]] * len(out), pa.string()), k, out["phrase"].cast(pa.string()), out["f"]], names=["lang", "k", "phrase", "f"])
+            yield from table.combine_chunks().to_batches()
+
+        for b in batches:
+            columns = [b.column(c) for c in ("lang", "part", "phrases", "counts")]
+            for lang, part, lines, counts in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], strict=True):
+                if (lang, part) != key:
+                    if key is not None:
+                        yield from done()
+                    key, waiting, size = (lang, part), [], 0
+                f = np.frombuffer(counts.as_buffer(), "<i8")
+                phrase = pc.split_pattern(pa.array([lines.as_py()], pa.large_string()), "\n").flatten()
+                waiting.append(pa.table({"phrase": phrase, "f": pa.array(f)}))
+                size += len(f)
+                if size >= BUFFER:
+                    waiting = [summed(waiting)]
+                    size = len(waiting[0])
+        if key is not None:
+            yield from done()
 
     return run
 
@@ -341,8 +383,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     two = frequent(texts, log_parts, _long_phrases(short_kept), least)
     long_kept = spark.sparkContext.broadcast(bit_map(two, log_parts))
     unstash(one, two)
-    exact = texts.mapInArrow(_counts(short_kept, long_kept), "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
-    exact = stash(exact.where((F.col("f") >= least) | (F.col("k") == 0)))
+    rows = texts.mapInArrow(_counts(short_kept, long_kept, max(8, log_parts - 4)), "lang string, part int, phrases string, counts binary")
+    rows = rows.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    exact = stash(rows.mapInArrow(_totals(least), "lang string, k int, phrase string, f long"))
     counts = exact.where("k > 0").select("lang", "phrase", "f")
     total = exact.where("k = 0").select("lang", F.col("f").alias("n"))
     phrases = exact.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
