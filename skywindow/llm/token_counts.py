@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TAG, binaries, sliced, tagged
-from .textvec import U, mix
 
 #: Bytes of text whose pre-tokens a task gathers before it hands them on; more means fewer, longer posting lists.
 BLOCK_BYTES = 8 << 20
@@ -57,13 +56,11 @@ class Counter:
         return np.fromiter((len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)), np.int64, len(pieces))
 
     @lru_cache(1)  # noqa: B019
-    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, in order, of the vocabulary's entries that are whole text, and their own counts."""
+    def vocabulary(self) -> tuple[pa.Array, np.ndarray]:
+        """The vocabulary's entries that are whole text, and their own counts (one more, 0, for whatever isn't one)."""
         ids = sorted(self.tokenizer.get_vocab(with_added_tokens=False).values())
         words = [w for w in dict.fromkeys(self.tokenizer.decode([i]) for i in ids) if w and "�" not in w]
-        hashes, counts = point_hash(*points_of(words)), self.counts(words)
-        order = np.argsort(hashes)
-        return hashes[order], counts[order]
+        return pa.array(words, pa.large_string()), np.append(self.counts(words), 0)
 
 
 @lru_cache(4)
@@ -76,14 +73,11 @@ def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(size)])
 
 
-def point_hash(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of code points; runs lie end to end."""
-    size = np.diff(bounds)
-    if not len(size):
-        return np.zeros(0, U)
-    rel = np.arange(len(points)) - np.repeat(bounds[:-1], size)
-    powers = np.cumprod(np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15, U))
-    return mix(np.add.reduceat((points.astype(U) + U(1)) * powers[rel], bounds[:-1]))
+def strings_of(texts: list[str], points: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
+    """The stretches between the cuts of the joined texts, numbered by what they are."""
+    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[cuts]
+    return pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer("".join(texts).encode())]).dictionary_encode()
 
 
 def pretokens(points: np.ndarray, texts: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -141,7 +135,7 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
                 if x:
                     docs.append(k)
                     parts.append(x)
-        found = []  # (doc, hash, times) and one place of each hash
+        found, base, pieces = [], 0, []  # (piece, doc, times), pieces numbered on from one stretch to the next
         a = 0
         while a < len(parts):
             b, n = a, 0
@@ -150,26 +144,20 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
                 b += 1
             points, bounds = points_of(parts[a:b])
             cuts = pretokens(points, bounds, counter_.classify(points))
-            hashes = point_hash(points, cuts)
-            doc = np.asarray(docs[a:b])[np.searchsorted(bounds, cuts[:-1], "right") - 1]
-            place = np.searchsorted(known, hashes)
-            place[place == len(known)] = 0
-            hit = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-            np.add.at(extra, doc[hit], known_n[place[hit]])
-            left = np.flatnonzero(~hit)
-            order = left[np.lexsort((doc[left], hashes[left]))]
-            h, d = hashes[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(h)))
-            first = np.ones(len(at), bool)
-            first[1:] = h[at][1:] != h[at][:-1]
-            pieces = [points[cuts[i] : cuts[i + 1]].tobytes().decode("utf-32-le", "surrogatepass") for i in order[at[first]]]
-            found.append((h[at], d[at], times, h[at][first], pieces))
+            words = strings_of(parts[a:b], points, cuts)
+            ids, doc = np.asarray(words.indices).astype(np.int64), np.asarray(docs[a:b])[np.searchsorted(bounds, cuts[:-1], "right") - 1]
+            entry = np.asarray(pc.fill_null(pc.index_in(words.dictionary, value_set=known), len(known)))
+            extra += np.bincount(doc, known_n[entry[ids]], len(tags)).astype(np.int64)
+            left = entry[ids] == len(known)
+            pair, times = np.unique(ids[left] * len(tags) + doc[left], return_counts=True)
+            own, number = np.unique(pair // len(tags), return_inverse=True)
+            found.append((base + number, pair % len(tags), times))
+            pieces.append(words.dictionary.take(pa.array(own)))
+            base += len(own)
             a = b
         hs, ds, ts = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        names = dict(zip(np.concatenate([f[3] for f in found]).tolist() if found else [], [p for f in found for p in f[4]], strict=True))
+        names = (pa.concat_arrays(pieces) if pieces else pa.array([], pa.large_string())).dictionary_encode()
+        hs = np.asarray(names.indices).astype(np.int64)[hs]
         order = np.lexsort((ds, hs))
         hs, ds, ts = hs[order], ds[order], ts[order]
         many = (ts + 254) // 255  # a posting holds up to 255 occurrences
@@ -181,7 +169,7 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         new[1:] = hs[1:] != hs[:-1]
         at = np.flatnonzero(new)
         count = len(at)
-        piece = pa.array([names[x] for x in hs[at].tolist()] + [None], pa.string())
+        piece = pa.concat_arrays([names.dictionary.take(pa.array(hs[at])).cast(pa.string()), pa.array([None], pa.string())])
         # the last row of a block carries its row tags and the sums so far
         post_col = binaries(np.frombuffer(post.tobytes(), np.uint8), np.append(at, len(hs)) * POSTING.itemsize)
         sums = np.zeros(len(tags), [("tag", "<i8"), ("n", "<i8")])
