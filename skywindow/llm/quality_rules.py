@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, stash, tagged
-from .textvec import SPACE, U, Words, mix
+from .textvec import SPACE, Words, numbered
 
 SKETCH_STEP = 20
 #: Of the texts of a language and source, the share (per cent) that each rule rejects at most, but for what ties and ``PRIOR`` shift.
@@ -52,11 +52,8 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     begin, stop = begin[worded], stop[worded]
     stop = stop - (data[stop - 1] == 0x0A)
     doc = np.searchsorted(offs, begin, "right") - 1
-    size = stop - begin
-    rel = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     if len(begin):
-        powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, U))
-        line = mix(np.add.reduceat((data[np.repeat(begin, size) + rel].astype(U) + U(1)) * powers[rel], np.cumsum(size) - size))
+        line = numbered(data, begin, stop)
         order = np.lexsort((line, doc))
         same = (doc[order][1:] == doc[order][:-1]) & (line[order][1:] == line[order][:-1])
         out["n_dup_lines"] = np.bincount(doc[order][1:][same], minlength=len(n))
@@ -64,12 +61,17 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         out["n_dup_lines"] = np.zeros(len(n), np.int64)
     out["n_lines"] = np.bincount(doc, minlength=len(n))
     # words in three-word windows that the text has twice or more
-    total = len(w.hash)
+    total = len(w.start)
     cover = np.zeros(total + 3, np.int64)
     if total >= 3:
         of = np.repeat(docs, n)
         at = np.flatnonzero(of[2:] == of[:-2])
-        key = mix(w.hash[at] + w.hash[at + 1] * U(0x9E3779B97F4A7C15) + w.hash[at + 2] * U(0xC2B2AE3D27D4EB4F))
+        word = numbered(data, w.start, w.end)
+        kinds = int(word.max()) + 1
+        pair = word[:-1] * kinds + word[1:]
+        if kinds >= 1 << 20:  # so that the product below has room
+            pair = np.unique(pair, return_inverse=True)[1]
+        key = pair[at] * kinds + word[at + 2]
         order = np.lexsort((key, of[at]))
         k, d = key[order], of[at][order]
         same = (k[1:] == k[:-1]) & (d[1:] == d[:-1])

@@ -7,6 +7,8 @@ and punctuation don't hide a copy.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,6 +60,15 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(bytes_ * powers[rel], np.cumsum(size) - size))
 
 
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span of bytes, the same for equal ones alone."""
+    size = ends - starts
+    at = np.cumsum(size) - size
+    packed = data[np.repeat(starts, size) + np.arange(int(size.sum())) - np.repeat(at, size)]
+    spans_ = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(at, len(packed)).astype(np.int64)), pa.py_buffer(packed)])
+    return np.asarray(spans_.dictionary_encode().indices).astype(np.int64)
+
+
 class Words:
     """Plain or raw words of a slice of texts: ``start``/``end`` bytes, ``hash``, and ``first`` word index of each text."""
 
@@ -68,9 +79,12 @@ class Words:
             texts = pc.utf8_lower(texts)
         self.data, self.offs = flat(texts)
         self.start, self.end, self.first = spans(self.data, self.offs, BREAK if plain else SPACE)
-        self.hash = span_hash(self.data, self.start, self.end)
         self.count = np.diff(self.first)
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.data, self.start, self.end)
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all ``k``-word shingles in order, and the index of each text's first (one more at the end).
 

@@ -668,3 +668,25 @@ def test_schedules_shift_sources_in_time(spark):
     got = mixing.mixed_order(d).groupBy("source").agg(F.avg("position").alias("p")).collect()
     p = {r.source: r.p for r in got}
     assert p["a"] < p["b"] < p["c"]
+
+
+def thue_morse(a, b, n=1024):
+    """A word and its complement, which any polynomial hash modulo a power of two takes for one."""
+    w = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((a, b)[x] for x in w), "".join((b, a)[x] for x in w)
+
+
+def test_pieces_are_told_apart_by_themselves(spark):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse("e", "a")
+    texts = [x, y, f"{x} {y} {x}", f"{y}\n{x}"]
+    tok = Tokenizer.from_file(tokenizer_path())
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(spark, texts), tokenizer_path()).collect()}
+    assert got == {k: len(tok.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)} and got[0] != got[1]
+
+
+def test_lines_and_words_are_told_apart_by_themselves(spark):
+    x, y = thue_morse("e", "a")
+    c = quality_rules.text_counts(pa.array([f"{x}\n{y}\n{x}", " ".join([x, y, x, x, y, y] * 1), " ".join([x, "b", "c", y, "b", "c"]), " ".join([x, "b", "c"] * 2)]))
+    assert c["n_dup_lines"].tolist() == [1, 0, 0, 0] and c["n_repeat_words"].tolist() == [0, 0, 0, 6]
