@@ -2,7 +2,9 @@
 
 Source and configuration text is read as name-literal pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
 ``NAME=literal``, ``name := name2``, ``"a" + "b"``, triple-quoted literals over several lines, ``name("literal")``,
-``put("name", "literal")``, ``<add key="name" value="literal">``, and what stands in braces under a name); values are
+``put("name", "literal")``, ``x["name"] = "literal"``, ``a, b = "literal", "literal"``, ``name = (`` with the literal on the
+next line, ``<add key="name" value="literal">``, ``<name>literal</name>``, ``scheme://user:literal@host``, and what stands in
+braces under a name); values are
 followed through assignments (a name that is assigned another name takes that name's literal, through any chain), and each
 literal is scored by the most sensitive name that it reaches and by how random it looks. Literals that score high add
 ``lexed`` spans to those of the base patterns.
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,15 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN_LEAST = 6
 #: Parts of names that tell of a secret, and their weights.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "privatekey": 3, "accesskey": 3, "signingkey": 3, "encryptionkey": 3, "credential": 2, "auth": 1, "bearer": 2, "cookie": 1, "session": 1, "salt": 1, "key": 1}
-#: Names of weight 1 that are specific, so that a random literal suffices: all but a bare ``key``.
-SPECIFIC = re.compile(r"[a-z0-9]key|auth|cookie|session|salt")
+#: Of weight 1, but specific, so that a random literal suffices; ``key`` does as a part of a longer name.
+SPECIFIC = ("auth", "cookie", "session", "salt")
+#: What a name is made of: ``DB_passwordHash2`` has db, password, hash and 2.
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Elements of markup, and credentials in addresses.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\x20[^<>\n]*)?>([^<>\n]+)</\1\s*>", re.ASCII)
+ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]+)@""")
+#: Letters that may stand before a string's quote.
+PREFIXES = ("f", "r", "b", "u", "rb", "br", "fr", "rf")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your.*|none|null|true|false|todo|test|<.*>|\$\{.*\}|%.*%)$")
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 #: What a line needs for it to be lexed: an assignment sign, a brace, or a call with a quoted argument.
@@ -57,10 +67,18 @@ LEAST_SCORE = 3
 LITERAL_LEAST = 8
 
 
+@lru_cache(1 << 16)
 def sensitivity(name: str) -> int:
-    flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    weight = max((w for part, w in SENSITIVE.items() if part in flat), default=0)
-    return 2 if weight == 1 and SPECIFIC.search(flat) else weight
+    """By whole parts of the name, or neighbouring parts together; words of weight 2 and 3 also where a part ends with one."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    weight = 0
+    for k, part in enumerate(parts):
+        for word in (part, part.removesuffix("s"), parts[k - 1] + part if k else part):
+            w = SENSITIVE.get(word, 0)
+            weight = max(weight, 2 if w == 1 and (word in SPECIFIC or len(parts) > 1) else w)
+        if weight < 3:
+            weight = max(weight, max((w for word, w in SENSITIVE.items() if w > 1 and part.removesuffix("s").endswith(word)), default=0))
+    return weight
 
 
 def entropy(s: str) -> float:
@@ -88,11 +106,32 @@ def pairs(text: str) -> Iterator[Pair]:
     """Name-literal and name-name pairs in the order of the text."""
     name, name_end, armed = None, -1, False
     joined: Pair | None = None
+    given = False  # an assignment sign has been on the line
     word_end, label, argument = -1, None, None  # end of the last bare word; key="..." of markup; first argument of a call
     nest: list[int] = []
+    depth, wrapped = 0, False  # brackets that are open on the line; a value that goes on in parentheses
+    names: list[str] = []  # those of "a, b = ..." before the last, then those that still wait for a value
     for kind, start, end in _tokens(text):
+        if kind == "word" and end < len(text) and text[end] in "\"'" and text[start:end].lower() in PREFIXES:
+            continue
         if kind == "end":
             mark = text[start]
+            given = given and mark != "\n"
+            depth = 0 if mark == "\n" else depth + 1 if mark in "([{" else max(depth - 1, 0) if mark in ")]}" else depth
+            if armed and name is not None and (mark == "(" and word_end != start or mark == "\n" and wrapped):
+                wrapped = True
+                continue
+            wrapped = False
+            if mark == "]" and name is not None and not armed and text[name_end:start].strip("\"'") == "":
+                name_end = end  # x["name"] is named so
+                continue
+            if mark == "," and depth == 0 and name is not None and not armed and argument is None:
+                names.append(name)
+            elif mark == "," and depth == 0 and names and given:
+                name, armed, joined = names.pop(0), True, None
+                continue
+            elif mark != ",":
+                names = []
             calls, follows = mark == "(" and name is not None and word_end == start, mark == "," and argument is not None
             if mark == "{" and len(nest) < DEEPEST:
                 nest.append(max(nest[-1] if nest else 0, sensitivity(name) if armed and name else 0))
@@ -109,6 +148,10 @@ def pairs(text: str) -> Iterator[Pair]:
             argument = None
             if not armed:
                 name = None
+            elif names:
+                names.append(name)
+                name = names.pop(0)
+            given = armed
         elif kind == "plus":
             if joined is None:
                 name, armed = None, False
@@ -144,11 +187,18 @@ def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
     """
     at, n = 0, len(text)
     unclosed: set[str] = set()  # triple quotes that the rest of the text doesn't close
-    while (sign := SIGN.search(text, at)) is not None:
-        begin = max(text.rfind("\n", at, sign.start()) + 1, at)
-        if begin > at and text.find("\n\n", max(at - 1, 0), begin) >= 0:
-            yield "blank", begin, begin
-        stop = text.find("\n", sign.start()) + 1 or n
+    goes_on = False  # the line before ended with a parenthesis that it opened
+    while at < n:
+        if not goes_on:
+            sign = SIGN.search(text, at)
+            if sign is None:
+                return
+            begin = max(text.rfind("\n", at, sign.start()) + 1, at)
+            if begin > at and text.find("\n\n", max(at - 1, 0), begin) >= 0:
+                yield "blank", begin, begin
+            stop = text.find("\n", sign.start()) + 1 or n
+        else:
+            begin, stop = at, text.find("\n", at) + 1 or n
         quotes, at = "\"'", begin
         while at < stop:
             resume = stop
@@ -172,11 +222,13 @@ def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
                 else:
                     yield kind, m.start(), m.end()
             at = resume
+        goes_on = text[begin:stop].rstrip().endswith("(")
 
 
 def lexed(text: str) -> list[tuple[int, int, int]]:
     """Start, end and score of the literals that reach a sensitive name."""
     found = list(pairs(text))
+    found += [Pair(m[1], *m.span(2), None) for m in ELEMENT.finditer(text)] + [Pair("password", *m.span(1), None) for m in ADDRESS.finditer(text)]
     if not found:
         return []
     assigned = {p.name for p in found}
@@ -201,21 +253,23 @@ def lexed(text: str) -> list[tuple[int, int, int]]:
             if score.get(ref, 0) < score[n]:
                 score[ref] = score[n]
                 todo.append(ref)
-    # the parts of a joined literal are judged as one
-    whole: dict[Pair, str] = {}
+    # the parts of a joined literal are judged as one, once
+    parts: dict[Pair, list[str]] = {}
     for p in found:
-        first = p.joined or p
-        whole[first] = whole.get(first, "") + ("" if p.ref else text[p.start : p.end])
-    out = []
+        parts.setdefault(p.joined or p, []).append("" if p.ref else text[p.start : p.end])
+    random: dict[Pair, bool | None] = {}
+    for first, texts in parts.items():
+        value = "".join(texts)
+        random[first] = None if len(value) < LITERAL_LEAST or PLACEHOLDER.match(value) else looks_random(value)
+    out: dict[tuple[int, int], int] = {}
     for p in found:
-        value = whole[p.joined or p]
-        if p.ref or p.start == p.end or len(value) < LITERAL_LEAST or PLACEHOLDER.match(value):
+        looks = random[p.joined or p]
+        if p.ref or p.start == p.end or looks is None:
             continue
         weight = max(score[p.name], p.outer)
-        s = weight + looks_random(value)
-        if weight and s >= LEAST_SCORE:
-            out.append((p.start, p.end, s))
-    return out
+        if weight and weight + looks >= LEAST_SCORE:
+            out[p.start, p.end] = max(out.get((p.start, p.end), 0), weight + looks)
+    return [(a, b, s) for (a, b), s in sorted(out.items())]
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:

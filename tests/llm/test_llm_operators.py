@@ -690,3 +690,21 @@ def test_lines_and_words_are_told_apart_by_themselves(spark):
     x, y = thue_morse("e", "a")
     c = quality_rules.text_counts(pa.array([f"{x}\n{y}\n{x}", " ".join([x, y, x, x, y, y] * 1), " ".join([x, "b", "c", y, "b", "c"]), " ".join([x, "b", "c"] * 2)]))
     assert c["n_dup_lines"].tolist() == [1, 0, 0, 0] and c["n_repeat_words"].tolist() == [0, 0, 0, 6]
+
+
+SECRET = "s3cr3tV4lu3X9"
+
+
+@pytest.mark.parametrize("text,want", [
+    ('author = "John Smith 1984"', 0), ('monkey = "banana1234Xyz"', 0), ('tokenizer = "bert-base-uncased-v1.2"', 0), (f'a, b = "{SECRET}", 3', 0), (f'key = "{SECRET}"', 0),
+    (f'os.environ["DB_PASSWD_X"] = "{SECRET}"', 1), (f'user, pwd = "bobbobbob77", "{SECRET}"', 1), (f'pwd, user = "{SECRET}", "bobbobbob77"', 1), (f'pwd = f"{SECRET}"', 1), (f'pwd = (\n    "{SECRET}"\n)', 1),
+    (f"<pwd>{SECRET}</pwd>", 1), (f"postgres://bob:{SECRET}@host/db", 1), (f'f(user, pwd="{SECRET}")', 1), (f'dbPassword = "{SECRET}"', 1), (f'stripe_key = "{SECRET}"', 1), (f'f(a, b)["pwd"] = "{SECRET}"', 1), (f'authtoken = "{SECRET}"', 1),
+])
+def test_names_count_by_their_parts_and_more_syntax(text, want):
+    assert [text[a:b] for a, b, _ in secret_scan.lexed(text)] == [SECRET] * want
+
+
+@pytest.mark.parametrize("text,found", [("pwd=" + "+".join(['"ab1"'] * 40_000), 40_000), ("(\n" * 200_000 + "a=1", 0), ("://" + "a:" * 300_000, 0), ("<a" * 300_000, 0), ("x[" * 100_000 + "=1", 0), ("a, " * 100_000 + "= 1", 0)])
+def test_lexing_takes_linear_time(text, found):
+    began = time.time()
+    assert len(secret_scan.lexed(text)) == found and time.time() - began < 2
