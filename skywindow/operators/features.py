@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import along, bearing, geomag_lat, great_circle_km, grid_lat, grid_lon
 from ..plans.tables import staged
-from ..functions.solar import DAY_ZENITH, hours_since_terminator, zenith
+from ..functions.solar import DAY_ZENITH, is_day, sun_terms, zenith
 from ..schema import AVAILABLE_S, BANDS, CELL, LOOKBACKS, WINDOW_S, literal_map
 
 CONTROL_KM = 1000.0
 KP_LAGS = (3, 6, 12, 24, 48)
 AS_OF_S = 3600
 SMOOTHED_S = 27 * 86400
+#: Quarters of an hour that are looked back over for the last sunrise or sunset.
+TERMINATOR_STEPS = 48
 RELATIONS = ("same_cell", "reverse_path", "adjacent_band", "adjacent_cell", "band_wide")
 
 TIME_COLUMNS = ["hour_sin", "hour_cos", "doy_sin", "doy_cos", "month"]
@@ -53,6 +55,24 @@ def add_geometry(labels: DataFrame) -> DataFrame:
     return labels.join(pairs.select("tx_field", "rx_field", *GEOMETRY_COLUMNS), ["tx_field", "rx_field"], "left").select(*labels.columns, *GEOMETRY_COLUMNS)
 
 
+def _since_terminator(sun: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds hours since day and night last changed at the midpoint, in quarters: positive by day, negative by night, at most 12.
+
+    The quarters looked back over are rows: what depends on the time alone is worked out once for each of them (some 35,000
+    a year), and the first change is a minimum that each task takes before anything is shuffled.
+    """
+    t = F.unix_seconds("window_start")
+    now = F.col("midpoint_solar_zenith") < DAY_ZENITH
+    back = sun.select("*", now.alias("_now"), F.explode(F.sequence(F.lit(1), F.lit(TERMINATOR_STEPS))).alias("_lag")).withColumn("_slot", t - F.col("_lag") * WINDOW_S)
+    slots = sun.select(t.alias("t")).distinct().select(F.explode(F.sequence(F.col("t") - TERMINATOR_STEPS * WINDOW_S, F.col("t") - WINDOW_S, F.lit(WINDOW_S).cast("long"))).alias("_slot")).distinct()
+    slots = slots.select("_slot", *[c.alias(f"_s{k}") for k, c in enumerate(sun_terms(F.col("_slot")))])
+    day = is_day(F.col("midpoint_lat"), F.col("midpoint_lon"), tuple(F.col(f"_s{k}") for k in range(3)))
+    values = [c for c in sun.columns if c not in keys]
+    changed = back.join(slots, "_slot").groupBy(*keys).agg(*[F.first(c).alias(c) for c in values], F.first("_now").alias("_now"), F.min(F.when(day != F.col("_now"), F.col("_lag"))).alias("_back"))
+    hours = F.coalesce(F.col("_back") * 0.25, F.lit(12.0))
+    return changed.withColumn("midpoint_hours_since_terminator", F.when(F.col("_now"), hours).otherwise(-hours)).drop("_now", "_back")
+
+
 def add_solar(labels: DataFrame) -> DataFrame:
     """Needs the geometry columns. The sun is worked out once for each path and window, whatever the bands."""
     pair = ["tx_field", "rx_field", "window_start"]
@@ -61,7 +81,7 @@ def add_solar(labels: DataFrame) -> DataFrame:
     out = labels.select(*pair, *places).distinct()
     out = out.withColumns({f"{p}_solar_zenith": zenith(F.col(f"{p}_lat"), F.col(f"{p}_lon"), when) for p in ("midpoint", "tx_control", "rx_control")})
     lit = sum(((F.col(f"{p}_solar_zenith") < DAY_ZENITH).cast("int") for p in ("tx_control", "rx_control")), (F.col("midpoint_solar_zenith") < DAY_ZENITH).cast("int"))
-    sun = out.withColumns({"path_daylight_fraction": lit / F.lit(3.0), "midpoint_hours_since_terminator": hours_since_terminator(F.col("midpoint_lat"), F.col("midpoint_lon"), when)})
+    sun = _since_terminator(out.withColumn("path_daylight_fraction", lit / F.lit(3.0)), pair)
     return labels.join(sun.select(*pair, *SOLAR_COLUMNS), pair, "left").select(*labels.columns, *SOLAR_COLUMNS)
 
 

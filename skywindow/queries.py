@@ -21,7 +21,7 @@ from .operators.labels import unlabeled_fraction as build_unlabeled
 from .plans.nowcast import prediction_surface as surface
 from .plans.tables import scratch, staged
 from .queries_sql import SQL
-from .schema import CELL
+from .schema import CELL, HORIZONS_H
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -365,15 +365,27 @@ def prediction_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tx_field", "rx_field", "band", F.concat_ws(",", F.transform("p_open_pct", lambda x: F.coalesce(x.cast("string"), F.lit("null")))).alias("p_open_pct"), "confidence")
 
 
+def _feature_facts(m: DataFrame, *keys: str) -> DataFrame:
+    """Count, known values and mean of each feature column."""
+    stats = m.groupBy(*keys).agg(*[F.struct(F.count("*").alias("n"), F.count(c).alias("n_known"), F.avg(F.col(c).cast("double")).alias("mean")).alias(c) for c in features.FEATURE_COLUMNS])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in features.FEATURE_COLUMNS]))
+    return rounded(stats.select(*keys, rows.alias("r")).select(*keys, "r.feature", "r.s.n", "r.s.n_known", "r.s.mean"))
+
+
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All feature columns of the evaluation rows at a horizon of three hours: count, nulls and mean of each."""
     cells = staged(labels_of(spark, sf_dir))
     _, late = split(cells)
-    m = features.feature_matrix(late, cells, adapter.hourly(spark, sf_dir), 3)
-    stats = m.agg(*[F.struct(F.count("*").alias("n"), F.count(c).alias("n_known"), F.avg(F.col(c).cast("double")).alias("mean")).alias(c) for c in features.FEATURE_COLUMNS])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in features.FEATURE_COLUMNS]))
-    return rounded(stats.select(rows.alias("r")).select("r.feature", "r.s.n", "r.s.n_known", "r.s.mean"))
+    return _feature_facts(features.feature_matrix(late, cells, adapter.hourly(spark, sf_dir), 3))
+
+
+@query
+def feature_matrix_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at all horizons, in one plan."""
+    cells = staged(labels_of(spark, sf_dir))
+    _, late = split(cells)
+    return _feature_facts(features.feature_matrices(late, cells, adapter.hourly(spark, sf_dir), HORIZONS_H), "horizon_hours")
 
 
 @query

@@ -4,7 +4,7 @@ spread windows, ASOF joins for slots, QUALIFY for ranks."""
 from __future__ import annotations
 
 from .adapter import EPOCH, HOURLY_SQL, SPOTS_SQL
-from .schema import BAND_GROUPS, BANDS, CALLSIGN, CW_MODES, DIAL_MHZ, DIGITAL_MODES, EARTH_KM, FT8_LEVEL_MODES, GEOMAG_POLE
+from .schema import BAND_GROUPS, BANDS, CALLSIGN, CW_MODES, DIAL_MHZ, DIGITAL_MODES, EARTH_KM, FT8_LEVEL_MODES, GEOMAG_POLE, HORIZONS_H
 
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 TRAIN_END, EVAL_START = "TIMESTAMP '2024-05-02 00:00:00'", "TIMESTAMP '2024-05-04 00:00:00'"
@@ -224,6 +224,11 @@ def matrix(horizon_s: int) -> str:
     return upto(*TO_LABELS, GEO, SUN, EDGE, space(horizon_s), NEIGHBORS, HIST, *parts, body) + each
 
 
+def matrices() -> str:
+    """The same for each horizon."""
+    return " UNION ALL ".join(f"SELECT CAST({h} AS DOUBLE) AS horizon_hours, * FROM ({matrix(h * 3600)})" for h in HORIZONS_H)
+
+
 LIVE = """
 live AS (SELECT 'pskreporter' AS source, ts, lower(trim(band)) AS band, upper(trim(mode)) AS mode, upper(trim(dx_call)) AS dx_call, upper(trim(de_call)) AS de_call, dx_grid, de_grid, NULL::DOUBLE AS dx_lat, NULL::DOUBLE AS dx_lon,
   NULL::DOUBLE AS de_lat, NULL::DOUBLE AS de_lon, snr_db, NULL AS tx_dbm FROM spots WHERE ts IS NOT NULL AND snr_db IS NOT NULL AND coalesce(dx_call, '') <> '' AND coalesce(de_call, '') <> '' AND coalesce(mode, '') <> '' AND coalesce(band, '') <> '')"""
@@ -324,6 +329,7 @@ LEFT JOIN (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM ho
 FROM (SELECT l.*, h, (hour(w) + h) % 24 AS hr FROM lab l, (SELECT unnest([0, 1, 3]) AS h) WHERE w = {EVAL_START}) x LEFT JOIN rt USING (tx_field, rx_field, band, hr) CROSS JOIN ov GROUP BY 1, 2, 3""",
     "lake_roundtrip": upto(JUDGED, CLEAN) + "SELECT band, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, count(DISTINCT dx_call) AS n_calls FROM clean GROUP BY 1, 2",
     "feature_matrix": matrix(10800),
+    "feature_matrix_horizons": matrices(),
     "stream_hourly_upsert": upto(LIVE, JUDGED.replace("FROM spots", "FROM live"))
     + "SELECT CAST(epoch(date_trunc('hour', w)) AS BIGINT) AS hour, count(*) AS n, CAST(sum(s) AS BIGINT) AS snr_sum FROM (SELECT dx_call, de_call, band, mode, time_bucket(INTERVAL 15 MINUTE, ts) AS w, max(snr_db) AS s FROM good GROUP BY ALL) GROUP BY 1",
     "p533_keyed_score": upto(*TO_LABELS, GEO)
