@@ -36,6 +36,26 @@ def unstash(*tables: DataFrame) -> None:
                 path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Plans of which a second reading gives the same rows in the same places: stored tables, filtered and projected.
+PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "DataSourceV2ScanRelation"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs``, stored first unless it merely reads stored tables.
+
+    Row tags are places in partitions. Behind a shuffle, rows may be dealt otherwise when other columns are asked for, so that
+    an operator which reads its input twice would take one row's tag for another's.
+    """
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in PLAIN:
+            return stash(docs)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return docs
+
+
 def tagged(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The used columns under fixed names plus a row tag, so that null or repeated ids and clashing extra columns do no harm.
 

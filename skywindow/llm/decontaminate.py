@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import flat, sliced, tagged
+from .common import flat, settled, sliced, tagged
 from .textvec import U, mix
 
 #: Edits in per cent of an item's length, rounded down: at 6 % a piece has 15 code points or more.
@@ -201,6 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns as they are."""
+    docs = settled(docs)
     hit = leaks(docs, benchmark, id_col, text_col).select("__tag").distinct()
     rows = docs.withColumn("__tag", F.monotonically_increasing_id())
     return rows.join(hit, "__tag", "left_anti").drop("__tag")

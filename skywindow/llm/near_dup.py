@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, TAG, sliced, stash, tagged
+from .common import SLICE_BYTES, TAG, settled, sliced, stash, tagged
 from .graph import components, contracted, leader_pairs, relabelled
 from .textvec import U, Words, mix, shingle_counts
 
@@ -210,7 +210,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     (null, empty, only punctuation) are each a class of their own. Repeated rows are one class. A class with null ids
     alone has a null id; null ids never name a class that has others. An empty table gives an empty result.
     """
-    rows = tagged(docs, id_col, text_col)
+    rows = tagged(settled(docs), id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     signed = stash(rows.mapInArrow(_sign, f"{TAG} long, doc_id {id_type}, n_words long, h1 long, h2 long, bands array<long>, marks array<long>, n_shingles long, plain boolean"))
     equal = signed.where("n_words > 0").groupBy("h1", "h2").agg(F.min(TAG).alias("rep"))
@@ -249,6 +249,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the least id (null ids last), the first of equal ones."""
+    docs = settled(docs)
     named = stash(classes(docs, id_col, text_col))
     kept = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", TAG)).alias("first")).select(F.col(f"first.{TAG}").alias(TAG))
     return docs.withColumn(TAG, F.monotonically_increasing_id()).join(kept, TAG, "left_semi").drop(TAG)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TAG, binaries, sliced, tagged
+from .common import TAG, binaries, settled, sliced, tagged
 
 #: Bytes of text whose pre-tokens a task gathers before it hands them on; more means fewer, longer posting lists.
 BLOCK_BYTES = 8 << 20
@@ -228,7 +228,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Repeated rows and repeated or null ids each keep a row of their own; other columns are not looked at.
     An empty table gives an empty result.
     """
-    rows = tagged(docs, id_col, text_col)
+    rows = tagged(settled(docs), id_col, text_col)
     path = tokenizer_path
     posts = rows.select(TAG, "text").mapInArrow(lambda it: _postings(path, it), "piece string, base long, postings binary")
     # a pre-token that many documents of a block have is counted in up to SALTS places, each with some of its blocks

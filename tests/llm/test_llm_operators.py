@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -708,3 +709,22 @@ def test_names_count_by_their_parts_and_more_syntax(text, want):
 def test_lexing_takes_linear_time(text, found):
     began = time.time()
     assert len(secret_scan.lexed(text)) == found and time.time() - began < 3
+
+
+def test_operators_on_a_table_behind_a_shuffle(spark):
+    """Whatever columns are asked for, the same rows go and stay."""
+    rng = random.Random(11)
+    texts = [prose(rng, 60) for _ in range(300)]
+    item = texts[7][20:220]
+    texts[50] = texts[60] = texts[9]
+    table = docs(spark, texts).withColumn("more", F.col("text"))
+    shuffled = lambda: table.repartition(4, F.xxhash64("more"))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    whole = {r.doc_id for r in decontaminate.decontaminate(shuffled(), bench).collect()}
+    some = {r.doc_id for r in decontaminate.decontaminate(shuffled(), bench).select("doc_id").collect()}
+    assert whole == some == set(range(300)) - {7}
+    assert {r.doc_id for r in near_dup.keep_one(shuffled()).select("doc_id").collect()} == set(range(300)) - {50, 60}
+    tokens = {r.doc_id: r.n_bytes for r in token_counts.token_counts(shuffled(), tokenizer_path()).select("doc_id", "n_bytes").collect()}
+    assert tokens == {k: len(t.encode()) for k, t in enumerate(texts)}
+    order = mixing.mixed_order(shuffled()).select("doc_id", "position").collect()
+    assert Counter(r.doc_id for r in order) == Counter(r.doc_id for r in mixing.mixed_order(table).collect())
