@@ -6,13 +6,13 @@ from datetime import date
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hygiene import qualifying
+from ..functions.hygiene import REASONS, qualifying
 from ..operators.dedup import dedup_spots
 from ..schema import as_spots
-from ..sources.archives import read_archive
+from ..sources.archives import PARSE_ERRORS, read_archive
 from ..sources.listing import OBJECT, ArchiveObjects
 
 DONE, FAILED, REFUSED = 0, 1, 2
@@ -26,15 +26,16 @@ def archive_objects(spark: SparkSession, root: str, start: date, end: date) -> l
     return [(r.path, r.day) for r in rows.select("day", "path").collect()]
 
 
-def archive_days(spark: SparkSession, objects: list[tuple[str, date]]) -> tuple[DataFrame, DataFrame]:
-    """Spots of the objects, one for each path, band, mode and window of a day, with ``day``; and rejects by reason."""
+def archive_days(spark: SparkSession, objects: list[tuple[str, date]]) -> tuple[DataFrame, Observation]:
+    """Spots of the objects, one for each path, band, mode and window of a day, with ``day``; rejects by reason are observed
+    when they are written."""
     day = F.to_date(F.regexp_extract(F.col("_file"), OBJECT, 1))
+    seen = Observation()
     records = read_archive(spark, [p for p, _ in objects], file_col="_file").withColumn("day", day)
-    reasons = records.where("parse_error is not null").groupBy(F.col("parse_error").alias("reason")).agg(F.count("*").alias("n"))
+    records = records.observe(seen, *[F.count(F.when(F.col("parse_error") == r, 1)).alias(r) for r in (*PARSE_ERRORS, *REASONS)])
     # days are deduplicated apart: each is what one archive day says
-    sound = records.where("parse_error is null")
-    spots = qualifying(as_spots(sound, "day"))
-    return dedup_spots(spots, by_source=False, within=("day",)), reasons
+    spots = qualifying(as_spots(records.where("parse_error is null"), "day"))
+    return dedup_spots(spots, by_source=False, within=("day",)), seen
 
 
 def backfill(spark: SparkSession, root: str, start: date, end: date, out: str) -> tuple[int, dict]:
@@ -56,11 +57,11 @@ def backfill(spark: SparkSession, root: str, start: date, end: date, out: str) -
     if not objects:
         return FAILED, {"error": "no qualifying spots"}
     try:
-        spots, reasons = archive_days(spark, objects)
+        spots, seen = archive_days(spark, objects)
         spots.hint("rebalance", F.col("day")).write.partitionBy("day").option("compression", "zstd").parquet(staging.toString())
         written = spark.read.schema(spots.schema).parquet(staging.toString())
         counts = {str(r.day): r.n for r in written.groupBy("day").agg(F.count("*").alias("n")).collect()}
-        rejected = {r.reason: r.n for r in reasons.collect()}
+        rejected = {k: v for k, v in seen.get.items() if v}
         if not counts:
             return FAILED, {"error": "no qualifying spots", "rejected": rejected}
         if not fs.rename(staging, target):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_lat, grid_lon, grid_of, normal_grid, valid_or_null
+from ..functions.hygiene import REASONS
 from ..functions.hygiene import judged as judge
 from ..functions.hygiene import qualifying, reject_counts, without_skimmer
 from ..operators.dedup import dedup_spots
@@ -17,6 +18,8 @@ from .listing import ZippedCsv
 
 RBN_COLUMNS = ("callsign", "de_pfx", "de_cont", "freq", "band", "dx", "dx_pfx", "dx_cont", "mode", "db", "date", "speed", "tx_mode")
 AUTOMATIC_SOURCES = ("pskreporter", "rbn")
+#: What a record's ``parse_error`` can be besides the reasons of hygiene.
+PARSE_ERRORS = ("unparsed", "malformed_json", "non_automatic_source", "invalid_timestamp")
 ARCHIVE_SCHEMA = "source string, timestamp string, frequency string, band string, mode string, dxCall string, deCall string, dxGrid string, deGrid string, dxLat double, dxLon double, deLat double, deLon double, snr string, _corrupt string"
 
 
@@ -112,6 +115,15 @@ def extract(records: DataFrame, by_source: bool = True) -> tuple[DataFrame, Data
     return dedup_spots(qualifying(parsed), by_source), reject_counts(parsed).unionByName(errors)
 
 
+def write_extracted(records: DataFrame, path: str, by_source: bool = True) -> dict[str, int]:
+    """Writes the spots of ``extract`` as Parquet; how many records had each reason, counted in the same pass."""
+    rows = judge(as_spots(records, "parse_error")).withColumn("reason", F.coalesce("parse_error", "reject_reason", F.lit("qualifying")))
+    seen = Observation()
+    rows = rows.observe(seen, *[F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in ("qualifying", *PARSE_ERRORS, *REASONS)])
+    dedup_spots(as_spots(rows.where("reason = 'qualifying'")), by_source).write.parquet(path)
+    return {k: v for k, v in seen.get.items() if v}
+
+
 def requested_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Each day of the half-open range."""
     return spark.range(1).select(F.explode(F.when(F.lit(start) < F.lit(end), F.expr(f"sequence(date'{start}', date'{end}' - 1)")).otherwise(F.array().cast("array<date>"))).alias("day"))

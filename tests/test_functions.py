@@ -34,10 +34,10 @@ def test_geomagnetic_pole(spark):
 
 
 def test_calls(spark):
-    assert one(spark, bare_call(F.col("c")), c=" <k1jt> ") == "K1JT"
-    assert one(spark, base_call(F.col("c")), c="K1JT/P") == "K1JT"
+    assert one(spark, bare_call(F.col("c")), c=" <zl9tst> ") == "ZL9TST"
+    assert one(spark, base_call(F.col("c")), c="ZL9TST/P") == "ZL9TST"
     assert one(spark, without_skimmer(F.col("c")), c="W1NT-2") == "W1NT"
-    assert one(spark, is_valid_call(F.col("c")), c="<K1JT>") is True
+    assert one(spark, is_valid_call(F.col("c")), c="<ZL9TST>") is True
     assert one(spark, is_valid_call(F.col("c")), c="!!!") is False
 
 
@@ -72,7 +72,7 @@ def test_kp_of(spark):
 
 
 def spot(**over):
-    base = dict(source="wsprnet", ts=None, band="20m", mode="WSPR", freq_hz=1, dx_call="K1JT", de_call="W6SZ", dx_grid="FN20", de_grid="DM14", dx_field=None, de_field=None, dx_lat=None, dx_lon=None, de_lat=None, de_lon=None, snr_db=-10, tx_dbm=20)
+    base = dict(source="wsprnet", ts=None, band="20m", mode="WSPR", freq_hz=1, dx_call="ZL9TST", de_call="OK9ZZZ", dx_grid="FN20", de_grid="DM14", dx_field=None, de_field=None, dx_lat=None, dx_lon=None, de_lat=None, de_lon=None, snr_db=-10, tx_dbm=20)
     import datetime as dt
 
     base["ts"] = dt.datetime(2024, 5, 1, 12, 2)
@@ -82,7 +82,7 @@ def spot(**over):
 def test_reject_order(spark):
     cases = [
         (spot(), None), (spot(ts=None), "missing_required_field"), (spot(dx_call=""), "missing_required_field"), (spot(band="2m", dx_call="!!!"), "unsupported_band"), (spot(dx_call="!!!"), "invalid_callsign"),
-        (spot(dx_call="K1JT/MM"), "mm_am_suffix"), (spot(dx_call="W6SZ/P"), "self_spot"), (spot(dx_grid="rr73"), "rr73_grid"), (spot(dx_grid=None), "no_usable_location"),
+        (spot(dx_call="ZL9TST/MM"), "mm_am_suffix"), (spot(dx_call="OK9ZZZ/P"), "self_spot"), (spot(dx_grid="rr73"), "rr73_grid"), (spot(dx_grid=None), "no_usable_location"),
         (spot(dx_grid=None, dx_lat=40.0, dx_lon=-75.0), None), (spot(dx_grid="DM14ed"), "distance_too_short"), (spot(dx_grid="FN2"), "no_usable_location"),
     ]
     df = spark.createDataFrame([(i, *s) for i, (s, _) in enumerate(cases)], "i int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SPOT.fields))

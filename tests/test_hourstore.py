@@ -12,7 +12,7 @@ T0 = dt.datetime(2024, 5, 1)
 
 def batch(spark, *spots):
     """(hour, minute, sender, signal) as spots."""
-    rows = [(T0 + dt.timedelta(hours=h, minutes=m), "20m", "FT8", dx, "W2DE", "FN20", "JO22", snr, None) for h, m, dx, snr in spots]
+    rows = [(T0 + dt.timedelta(hours=h, minutes=m), "20m", "FT8", dx, "W2DE", "GF05", "JO22", snr, None) for h, m, dx, snr in spots]
     return spark.createDataFrame(rows, "ts timestamp, band string, mode string, dx_call string, de_call string, dx_grid string, de_grid string, snr_db int, parse_error string").withColumn("source", F.lit("pskreporter"))
 
 

@@ -30,24 +30,24 @@ def utc(spark, df):
 
 @pytest.mark.parametrize("minute", [0, 2])
 def test_spot_lights_five_windows(spark, minute):
-    s = spark.createDataFrame([("wsprnet", at(12, minute), "20m", "WSPR", "K1JT", "W6SZ", "FN20", "DM14", -10, 20)], SPOTS)
+    s = spark.createDataFrame([("wsprnet", at(12, minute), "20m", "WSPR", "ZL9TST", "OK9ZZZ", "FN20", "DM14", -10, 20)], SPOTS)
     assert utc(spark, receiver_uptime(s)) == ["11:30", "11:45", "12:00", "12:15", "12:30"]
 
 
 def test_modal_grid(spark):
-    rows = [("w", at(12), "20m", "WSPR", f"K{i}A", "W6SZ", "FN20", g, -10, 20) for i, g in enumerate(["DM14", "CM87"] + ["EN"] * 5)]
+    rows = [("w", at(12), "20m", "WSPR", f"K{i}A", "OK9ZZZ", "FN20", g, -10, 20) for i, g in enumerate(["DM14", "CM87"] + ["EN"] * 5)]
     got = receiver_uptime(spark.createDataFrame(rows, SPOTS)).select("de_grid4").distinct().collect()
     assert [r[0] for r in got] == ["CM87"]
 
 
 def test_dedup_priority(spark):
-    rows = [(s, at(12, m), "20m", "WSPR", "K1JT", "W6SZ", "FN20", "DM14", snr, 20) for s, m, snr in (("rbn", 1, 5), ("wsprnet", 2, None), ("wsprnet", 3, -10), ("wsprnet", 16, 1))]
+    rows = [(s, at(12, m), "20m", "WSPR", "ZL9TST", "OK9ZZZ", "FN20", "DM14", snr, 20) for s, m, snr in (("rbn", 1, 5), ("wsprnet", 2, None), ("wsprnet", 3, -10), ("wsprnet", 16, 1))]
     got = {(r.source, r.snr_db) for r in dedup_spots(spark.createDataFrame(rows, SPOTS)).collect()}
     assert got == {("wsprnet", -10), ("wsprnet", 1)}
 
 
 def test_repeated_station_counts_once(spark):
-    rows = [("wsprnet", at(12), "20m", "WSPR", "K1JT", r, "FN20", "DM14", -10, 20) for r in ("W6SZ", "W7AB")]
+    rows = [("wsprnet", at(12), "20m", "WSPR", "ZL9TST", r, "FN20", "DM14", -10, 20) for r in ("OK9ZZZ", "W7AB")]
     row = universe(spark.createDataFrame(rows, SPOTS)).where("n_spots > 0").first()
     assert (row.n_spots, row.n_tx_stations, row.n_monitors, row.evidence_tier) == (2, 1, 2, "wspr")
 

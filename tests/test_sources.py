@@ -29,6 +29,9 @@ def test_wsprnet(spark, tmp_path):
     got = {r.band: r for r in spots.collect()}
     assert set(got) == {"20m", "30m"} and got["20m"].freq_hz == 14095620 and got["20m"].dx_grid == "HI36UV"
     assert {r.reason: r.n for r in reasons.collect()} == {"qualifying": 2, "invalid_callsign": 1, "unparsed": 1}
+    out = str(tmp_path / "spots")
+    assert archives.write_extracted(archives.read_wsprnet(spark, path), out) == {"qualifying": 2, "invalid_callsign": 1, "unparsed": 1}
+    assert spark.read.parquet(out).count() == 2
     one, _ = archives.extract(archives.read_wsprnet(spark, path, ["20m"]))
     assert [r.dx_call for r in one.collect()] == ["PY0TST"]
 
@@ -56,7 +59,7 @@ def test_rbn(spark, tmp_path, zipped):
 
 
 def test_archive(spark, tmp_path):
-    base = {"timestamp": 1717243320, "frequency": 14074000, "band": "20M", "mode": "ft8", "dxCall": "k1jt", "deCall": "w6sz", "dxGrid": "fn20xx", "deGrid": None, "deLat": 34.5, "deLon": -117.0, "snr": -3, "source": "pskreporter"}
+    base = {"timestamp": 1722518700, "frequency": 14074000, "band": "20M", "mode": "ft8", "dxCall": "zl9tst", "deCall": "ok9zzz", "dxGrid": "rf70ab", "deGrid": None, "deLat": 49.25, "deLon": 15.5, "snr": -3, "source": "pskreporter"}
     lines = [json.dumps(base), json.dumps(base | {"source": "user"}), json.dumps(base | {"timestamp": "x"}), json.dumps(base | {"dxGrid": "RR73"}), "{broken"]
     path = str(tmp_path / "a.json.gz")
     with gzip.open(path, "wt") as f:
@@ -64,7 +67,7 @@ def test_archive(spark, tmp_path):
     rows = archives.read_archive(spark, path)
     assert sorted(str(r.parse_error) for r in rows.collect()) == ["None", "invalid_timestamp", "malformed_json", "non_automatic_source", "rr73_grid"]
     r = rows.where("parse_error is null").first()
-    assert (r.dx_grid, r.dx_lat, r.de_grid, r.band, r.mode) == ("FN20", 40.5, "DM14", "20m", "FT8")
+    assert (r.dx_grid, r.dx_lat, r.de_grid, r.band, r.mode) == ("RF70", -39.5, "JN79", "20m", "FT8")
 
 
 def test_days(spark):
@@ -136,14 +139,14 @@ def test_indices(spark, tmp_path):
     (tmp_path / "o").write_text(" ".join(words) + "\n")
     r = indices.read_omni2(spark, str(tmp_path / "o")).first()
     assert r.time == dt.datetime(2014, 1, 2, 5) and r.bz_gsm is None and r.kp == pytest.approx(5 + 2 / 3) and r.dst == -12 and r.f107 == 124
-    (tmp_path / "k").write_text("# head\n2026 06 15 06.0 07.5 34500.0 34500.0 5.333 56 1\n2026 06 15 09.0 10.5 34500.0 34500.0 3.0 18 0\n")
+    (tmp_path / "k").write_text("# head\n2031 02 03 12.0 13.5 36192.5 36192.6 6.667 111 1\n2031 02 03 15.0 16.5 36192.6 36192.7 2.0 7 0\n")
     k = indices.read_definitive_kp(spark, str(tmp_path / "k")).collect()
-    assert len(k) == 1 and k[0].kp == 5.333 and k[0].block_start == dt.datetime(2026, 6, 15, 6)
-    (tmp_path / "bad").write_text("2026 06 15\n")
+    assert len(k) == 1 and k[0].kp == 6.667 and k[0].block_start == dt.datetime(2031, 2, 3, 12)
+    (tmp_path / "bad").write_text("2031 02 03\n")
     with pytest.raises(Exception, match="malformed line"):
         indices.read_definitive_kp(spark, str(tmp_path / "bad")).collect()
-    (tmp_path / "s").write_text('[{"time-tag": "2026-04", "ssn": 141.2, "smoothed_ssn": 133.0},\n {"time-tag": "2026-05", "ssn": 128.7, "smoothed_ssn": -1.0}]')
-    assert {r.month: r.ssn for r in indices.read_ssn(spark, str(tmp_path / "s")).collect()} == {"2026-04": 133.0, "2026-05": 128.7}
+    (tmp_path / "s").write_text('[{"time-tag": "2031-02", "ssn": 91.5, "smoothed_ssn": 88.0},\n {"time-tag": "2031-03", "ssn": 77.25, "smoothed_ssn": -1.0}]')
+    assert {r.month: r.ssn for r in indices.read_ssn(spark, str(tmp_path / "s")).collect()} == {"2031-02": 88.0, "2031-03": 77.25}
 
 
 def test_lake(spark, tmp_path):
@@ -156,14 +159,14 @@ def test_lake(spark, tmp_path):
 
 
 def payload(**over):
-    base = {"f": 14074000, "md": "FT8", "rp": -3, "t": 1717243320, "t_tx": 1717243300, "sc": "K1JT", "sl": "FN20", "rc": "W6SZ", "rl": "DM14", "b": "20m"}
+    base = {"f": 14074000, "md": "FT8", "rp": -3, "t": 1722519300, "t_tx": 1722519280, "sc": "PY0TST", "sl": "HI36", "rc": "OK9ZZZ", "rl": "JN79", "b": "20m"}
     return json.dumps({k: v for k, v in (base | over).items() if v is not None})
 
 
 def test_parse_reports(spark):
     rows = parse_reports(spark.createDataFrame([(payload(),), (payload(t_tx=None),), (payload(rp=None),), ("[1]",), ("nonsense",), (payload(sc=""),)], "value string")).collect()
     assert [r.parse_error for r in rows] == [None, None] + ["unparsed"] * 4
-    assert [r.ts for r in rows[:2]] == [dt.datetime(2024, 6, 1, 12, 1, 40), dt.datetime(2024, 6, 1, 12, 2)]
+    assert [r.ts for r in rows[:2]] == [dt.datetime(2024, 8, 1, 13, 34, 40), dt.datetime(2024, 8, 1, 13, 35)]
 
 
 def test_accumulate_merges_late_data(spark, tmp_path):
@@ -171,13 +174,13 @@ def test_accumulate_merges_late_data(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     store, seen = HourlyStore(spark, str(tmp_path / "store")), []
-    batches = [[payload(rp=-9), payload(sc="K2AB", t_tx=1717247000)], [payload(rp=5), payload(rp=None)], [payload(rp=-20)]]
+    batches = [[payload(rp=-9), payload(sc="K2AB", t_tx=1722522900)], [payload(rp=5), payload(rp=None)], [payload(rp=-20)]]
     for k, lines in enumerate(batches):
         (src / f"{k}.json").write_text("\n".join(lines))
         q = accumulate(spark.readStream.text(str(src)), store, str(tmp_path / "progress"), on_flush=lambda c, i: seen.append({r.reason: r.n for r in c.collect()}))
         q.awaitTermination()
     got = {(r.dx_call, r.snr_db) for r in store.read().collect()}
-    assert got == {("K1JT", 5), ("K2AB", -3)}
+    assert got == {("PY0TST", 5), ("K2AB", -3)}
     assert seen[1] == {"qualifying": 1, "unparsed": 1}
 
 
