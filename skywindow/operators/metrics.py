@@ -82,6 +82,11 @@ def slice_scores(predicted: DataFrame, *keys: str) -> DataFrame:
     return scores(predicted.select("*", each), *keys, "slice")
 
 
+def band_group_scores(predicted: DataFrame, *keys: str) -> DataFrame:
+    """One table of band group by horizon and model (or other keys); a model that abstains on all rows of a group has no row."""
+    return scores(predicted.withColumn("band_group", band_group(F.col("band"))), *keys, "band_group")
+
+
 def tag_period(labels: DataFrame, start: str, end: str, pad_hours: int = 24) -> DataFrame:
     """``period``: before, during or after a storm, with a day's pads; other rows go."""
     t, a, b, pad = F.col("window_start"), F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {pad_hours} hours")

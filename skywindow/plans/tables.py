@@ -33,3 +33,36 @@ def staged(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of ``shared``: the application, the plan, the state of the files that it reads, and the stored table.
+_SHARED: list[tuple[str, DataFrame, list, DataFrame]] = []
+#: How many of them are known at a time.
+KNOWN = 32
+
+
+def _files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of each file that a plan reads."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    out = []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``staged``, once in an application for each plan over the same files: the part that many queries begin with.
+
+    Files that have changed make another table. For plans over a number of files that the driver can look at one by one.
+    """
+    app, files = df.sparkSession.sparkContext.applicationId, _files(df)
+    for known_app, plan, then, table in _SHARED:
+        if known_app == app and then == files and plan.sameSemantics(df):
+            return table
+    table = staged(df)
+    _SHARED.append((app, df, files, table))
+    del _SHARED[:-KNOWN]
+    return table

@@ -19,7 +19,7 @@ from .operators.labels import labels as build_labels
 from .operators.labels import universe as build_universe
 from .operators.labels import unlabeled_fraction as build_unlabeled
 from .plans.nowcast import prediction_surface as surface
-from .plans.tables import scratch, staged
+from .plans.tables import scratch, shared, staged
 from .queries_sql import SQL
 from .schema import CELL, HORIZONS_H
 
@@ -47,11 +47,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_spots(qualifying(adapter.spots(spark, sf_dir)))
+    """Qualifying, deduplicated spots: what nearly every query begins with, stored once."""
+    return shared(dedup_spots(qualifying(adapter.spots(spark, sf_dir))))
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_labels(staged(clean(spark, sf_dir)))
+    return shared(build_labels(clean(spark, sf_dir)))
 
 
 SPOT_OUT = ["source", "ts", "band", "mode", "dx_call", "de_call", "dx_grid", "de_grid", "snr_db", "tx_dbm"]
@@ -104,7 +105,7 @@ def transmit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = seconds(build_universe(staged(clean(spark, sf_dir))))
+    out = seconds(build_universe(clean(spark, sf_dir)))
     return out.withColumns({c: F.col(c).cast("int") for c in ("is_positive", "is_n_eligible")})
 
 
@@ -115,7 +116,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unlabeled_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(build_unlabeled(staged(clean(spark, sf_dir))).withColumn("date", F.col("date").cast("string")))
+    return rounded(build_unlabeled(clean(spark, sf_dir)).withColumn("date", F.col("date").cast("string")))
 
 
 @query
@@ -126,7 +127,7 @@ def snr_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sampling.sample_labels(staged(labels_of(spark, sf_dir)), ratio=0.25)
+    out = sampling.sample_labels(labels_of(spark, sf_dir), ratio=0.25)
     return rounded(seconds(out).select("window_s", "tx_field", "rx_field", "band", F.col("open").cast("int").alias("open"), "sample_weight"))
 
 
@@ -173,7 +174,7 @@ def spaceweather_features_h6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str, *relations: str, horizon: float = 0) -> DataFrame:
-    cells = staged(labels_of(spark, sf_dir))
+    cells = labels_of(spark, sf_dir)
     out = features.add_history(cells, cells.select(*CELL), horizon, relations)
     if "yesterday" in relations:
         out = out.withColumn("same_hour_yesterday_open", F.col("same_hour_yesterday_open").cast("int"))
@@ -221,14 +222,14 @@ def split(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, late = split(staged(labels_of(spark, sf_dir)))
+    train, late = split(labels_of(spark, sf_dir))
     return Climatology().fit(train).predict(late)
 
 
 @query
 def open_rate_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each band was open, by UTC hour, counting only provable negatives."""
-    cells = build_universe(staged(clean(spark, sf_dir)))
+    cells = build_universe(clean(spark, sf_dir))
     out = cells.groupBy("band", F.hour("window_start").cast("long").alias("hour")).agg(F.count("*").alias("n_cells"), F.sum(F.col("is_positive").cast("long")).alias("n_open"))
     return out.select("band", "hour", "n_cells", "n_open", F.round(F.col("n_open") / F.col("n_cells"), 6).alias("open_rate"))
 
@@ -273,7 +274,14 @@ def storm_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def band_group_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.scores(_predicted(spark, sf_dir).withColumn("band_group", metrics.band_group(F.col("band"))), "band_group"))
+    return rounded(metrics.band_group_scores(_predicted(spark, sf_dir)))
+
+
+@query
+def band_group_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band group by horizon: climatology says the same at each, as the target window is what it looks at."""
+    each = F.explode(F.array(*[F.lit(float(h)) for h in HORIZONS_H])).alias("horizon_hours")
+    return rounded(metrics.band_group_scores(_predicted(spark, sf_dir).select("*", each, F.lit("climatology").alias("model")), "horizon_hours", "model"))
 
 
 @query
@@ -333,7 +341,7 @@ def qa_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def coverage_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = staged(labels_of(spark, sf_dir)).select(*CELL, "open")
+    cells = labels_of(spark, sf_dir).select(*CELL, "open")
     predicted = cells.where("band <> '17m'").withColumn("rx_field", F.when(F.col("rx_field") == "DN", "ZZ").otherwise(F.col("rx_field")))
     return acceptance.coverage(predicted, cells)
 
@@ -357,7 +365,7 @@ def bcr_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prediction_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = staged(labels_of(spark, sf_dir))
+    cells = labels_of(spark, sf_dir)
     model = Climatology().fit(cells)
     at = cells.where(F.unix_seconds("window_start") == EVAL_START_S)
     shifted = {h * 3600: model.predict(at.withColumn("window_start", F.timestamp_seconds(F.unix_seconds("window_start") + h * 3600))) for h in (0, 1, 3)}
@@ -375,7 +383,7 @@ def _feature_facts(m: DataFrame, *keys: str) -> DataFrame:
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All feature columns of the evaluation rows at a horizon of three hours: count, nulls and mean of each."""
-    cells = staged(labels_of(spark, sf_dir))
+    cells = labels_of(spark, sf_dir)
     _, late = split(cells)
     return _feature_facts(features.feature_matrix(late, cells, adapter.hourly(spark, sf_dir), 3))
 
@@ -383,7 +391,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_matrix_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same at all horizons, in one plan."""
-    cells = staged(labels_of(spark, sf_dir))
+    cells = labels_of(spark, sf_dir)
     _, late = split(cells)
     return _feature_facts(features.feature_matrices(late, cells, adapter.hourly(spark, sf_dir), HORIZONS_H), "horizon_hours")
 
@@ -420,12 +428,12 @@ def stream_hourly_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gbt_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of boosted trees with calibration beside climatology, on the same evaluation rows."""
-    cells = staged(labels_of(spark, sf_dir))
+    cells = labels_of(spark, sf_dir)
     train, late = split(cells)
     hourly = adapter.hourly(spark, sf_dir)
     names = [*features.TIME_COLUMNS, "band_ordinal", *features.GEOMETRY_COLUMNS, *features.SPACE_COLUMNS, "same_cell_n_1h", "same_cell_n_24h", "reverse_path_n_24h", "adjacent_cell_n_24h", "band_wide_n_1h"]
     matrix = lambda rows: staged(features.feature_matrix(rows, cells, hourly, 0).select(*CELL, "open", *names))
-    model = GBT(names, trees=30, leaves=31, rate=0.1).fit(matrix(train))
+    model = GBT(names, trees=15, leaves=16).fit(matrix(train))
     tree = metrics.scores(model.predict(matrix(late)), F.lit("gbt").alias("model"))
     return rounded(tree.unionByName(metrics.scores(Climatology().fit(train).predict(late), F.lit("climatology").alias("model"))))
 

@@ -300,6 +300,7 @@ WHERE open = 1 OR r <= k""",
     + f"""SELECT 'climatology' AS model, slice, {SCORE} FROM (SELECT pred.*, coalesce(kp >= 5, false) AS storm, unnest(['overall', CASE WHEN coalesce(kp >= 5, false) THEN 'storm' ELSE 'quiet' END]) AS slice FROM pred
 LEFT JOIN (SELECT time_bucket(INTERVAL 3 HOUR, time) AS b, max(kp) AS kp FROM hourly WHERE kp IS NOT NULL GROUP BY 1) k ON k.b = time_bucket(INTERVAL 3 HOUR, w)) GROUP BY slice""",
     "band_group_slices": upto(*TO_PRED) + f"SELECT CASE {' '.join(f'WHEN band IN ({_list(bs)}) THEN {chr(39)}{g}{chr(39)}' for g, bs in BAND_GROUPS.items())} END AS band_group, {SCORE} FROM pred GROUP BY 1",
+    "band_group_horizons": upto(*TO_PRED) + f"SELECT CAST(hz AS DOUBLE) AS horizon_hours, 'climatology' AS model, CASE {' '.join(f'WHEN band IN ({_list(bs)}) THEN {chr(39)}{g}{chr(39)}' for g, bs in BAND_GROUPS.items())} END AS band_group, {SCORE} FROM pred, (SELECT unnest([{', '.join(map(str, HORIZONS_H))}]) AS hz) GROUP BY ALL",
     "storm_periods": upto(*TO_LABELS)
     + "SELECT CASE WHEN w < TIMESTAMP '2024-05-02 06:00:00' THEN 'before' WHEN w < TIMESTAMP '2024-05-03 00:00:00' THEN 'during' ELSE 'after' END AS period, band, count(*) AS n, round(avg(open), 6) AS open_rate FROM lab WHERE w >= TIMESTAMP '2024-05-01 06:00:00' AND w < TIMESTAMP '2024-05-04 00:00:00' GROUP BY 1, 2",
     "hourly_timeline": upto(*TO_PRED) + "SELECT CAST(epoch(date_trunc('hour', w)) AS BIGINT) AS hour, round(avg(open), 6) AS open_rate, round(avg(p), 6) AS mean_p, count(*) AS n FROM pred GROUP BY 1",
