@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 FAST = [
     "hygiene_rejects", "deduplicated_spots", "dedup_without_source_rank", "receiver_uptime_windows", "transmit_windows", "universe", "labels", "unlabeled_fraction", "stratified_sample", "geo_features",
     "solar_features", "spaceweather_features_h6", "history_adjacent_cell", "history_band_wide", "history_h6", "climatology_predict", "reliability_bins", "pr_auc", "storm_slices", "qa_diurnal", "qa_reciprocity",
-    "coverage_antijoin", "cohort_digest", "bcr_closed_form", "prediction_surface", "lake_roundtrip", "feature_matrix", "stream_hourly_upsert", "p533_keyed_score", "storm_block",
+    "coverage_antijoin", "cohort_digest", "bcr_closed_form", "prediction_surface", "lake_roundtrip", "feature_matrix", "feature_matrix_horizons", "band_group_horizons", "stream_hourly_upsert", "p533_keyed_score", "storm_block",
 ]
 
 
