@@ -46,15 +46,8 @@ def _position(place, demand, slope):
     return 2 * y / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * y))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken, positions`` and the row tag.
-
-    ``size`` is the number of words (null text: 0); ``taken`` the words that the mix takes of it, at most twice its size:
-    each source's words add up to its target, rounded down, the last document being taken in part. ``positions`` has the
-    training time, from 0 to 1, of each copy that is taken. Order within a source is by md5 of the id as text, then the
-    id and size: equal rows are alike, so reruns agree. Null sources are one source, weighed last; null ids sort first;
-    an empty table gives an empty result.
-    """
+def _schedule(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row for each row of ``docs``: what ``mix`` says of it, and its ``copies``: ``words, position`` of each one taken."""
     rows = tagged(docs, id_col, text_col, source_col)
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     sized = stash(rows.select(TAG, "doc_id", F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("h")))
@@ -73,8 +66,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first = F.least(F.col("size"), F.greatest(F.lit(0), goal - F.col("at")))
     second = F.least(F.col("size"), F.greatest(F.lit(0), goal - F.col("source_size") - F.col("at")))
     slope = F.element_at(F.array(*[F.lit(x) for x in SLOPES]), F.col("rank") % len(SLOPES) + 1)
-    times = F.array(*[F.when(n > 0, _position(F.col("at") + k * F.col("source_size"), F.col("target"), slope)) for k, n in enumerate((first, second))])
-    return placed.select(TAG, "doc_id", "size", "source_size", "target", (first + second).cast("long").alias("taken"), F.array_compact(times).alias("positions"))
+    copies = F.array(*[F.when(n > 0, F.struct(n.alias("words"), _position(F.col("at") + k * F.col("source_size"), F.col("target"), slope).alias("position"))) for k, n in enumerate((first, second))])
+    return placed.select(TAG, "doc_id", "size", "source_size", "target", F.array_compact(copies).alias("copies"))
+
+
+def _in_order(copies: DataFrame) -> DataFrame:
+    """Copies in the order of the mix: by training time, dealt by ranges of it."""
+    return copies.repartitionByRange("position", TAG).sortWithinPartitions("position", TAG)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken, positions`` and the row tag.
+
+    ``size`` is the number of words (null text: 0); ``taken`` the words that the mix takes of it, summed over its copies in
+    the mix, at most twice its size: each source's words add up to its target, rounded down, the last document being taken in
+    part. ``positions`` has the training time, from 0 to 1, of each copy that is taken. Order within a source is by md5 of the
+    id as text, then the id and size: equal rows are alike, so reruns agree. Null sources are one source, weighed last; null
+    ids sort first; an empty table gives an empty result.
+    """
+    own = [TAG, "doc_id", "size", "source_size", "target"]
+    copies = _in_order(_schedule(docs, id_col, text_col, source_col).select(*own, F.inline_outer("copies")))
+    taken = copies.groupBy(*own).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.min("position").alias("a"), F.max("position").alias("b"), F.count("position").alias("n"))
+    return taken.select(*own, "taken", F.array_compact(F.array("a", F.when(F.col("n") > 1, F.col("b")))).alias("positions"))
 
 
 def mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -83,7 +96,7 @@ def mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A column of ``docs`` named ``position`` is replaced. Copies of one document are rows of their own.
     """
     docs = settled(docs)
-    plan = mix(docs, id_col, text_col, source_col).select(TAG, F.explode("positions").alias("position"))
+    plan = _schedule(docs, id_col, text_col, source_col).select(TAG, F.inline("copies")).drop("words")
     kept = [c for c in docs.columns if c != "position"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(TAG, F.monotonically_increasing_id())
-    return rows.join(plan, TAG).select(*[F.col(f"`{c}`") for c in kept], "position").repartitionByRange("position").sortWithinPartitions("position")
+    return _in_order(rows.join(plan, TAG)).select(*[F.col(f"`{c}`") for c in kept], "position")
