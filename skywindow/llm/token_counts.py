@@ -29,6 +29,11 @@ LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 #: What a leading apostrophe splits off, by the letters after it (fixed values of byte-level pre-tokenizers).
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 POSTING = np.dtype([("doc", "<u2"), ("times", "u1")])
+SUM = np.dtype([("tag", "<i8"), ("n", "<i8")])
+#: A block's sum as it is passed on: the document's distance from the block's first tag, and pieces (a text has less than 2^31 bytes).
+PART = np.dtype([("doc", "<u2"), ("n", "<u4")])
+#: Sums that a task gathers before it hands them on.
+SUMS = 1 << 20
 
 
 class Counter:
@@ -172,7 +177,7 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         piece = pa.concat_arrays([names.dictionary.take(pa.array(hs[at])).cast(pa.string()), pa.array([None], pa.string())])
         # the last row of a block carries its row tags and the sums so far
         post_col = binaries(np.frombuffer(post.tobytes(), np.uint8), np.append(at, len(hs)) * POSTING.itemsize)
-        sums = np.zeros(len(tags), [("tag", "<i8"), ("n", "<i8")])
+        sums = np.zeros(len(tags), SUM)
         sums["tag"], sums["n"] = tags, extra
         post_col = pa.concat_arrays([post_col, pa.array([sums.tobytes()], pa.binary())])
         base = pa.array(np.full(count + 1, tags[0]))
@@ -198,10 +203,12 @@ def _postings(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _piece_sums(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums by row tag: each distinct pre-token's piece count times its frequency in each document."""
+    """Partial sums by row tag, packed by block: each distinct pre-token's piece count times its frequency in each document."""
     from . import token_counts as here
 
     counter_, seen = here.counter(path), {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         pieces = batch.column("piece").to_pylist()
         fresh = list({p for p in pieces if p is not None and p not in seen})
@@ -209,15 +216,59 @@ def _piece_sums(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Rec
             seen, fresh = {}, list({p for p in pieces if p is not None})
         seen.update(zip(fresh, counter_.counts(fresh).tolist(), strict=True))
         base, posts = np.asarray(batch.column("base")), batch.column("postings").to_pylist()
-        whole = [np.frombuffer(x, [("tag", "<i8"), ("n", "<i8")]) for p, x in zip(pieces, posts, strict=True) if p is None]
+        ends = [k for k, p in enumerate(pieces) if p is None]
+        whole = [np.frombuffer(posts[k], SUM) for k in ends]
         rows = [k for k, p in enumerate(pieces) if p is not None]
         post = np.frombuffer(b"".join(posts[k] for k in rows), POSTING)
         times = np.fromiter((len(posts[k]) // POSTING.itemsize for k in rows), np.int64, len(rows))
         n = np.repeat(np.fromiter((seen[pieces[k]] for k in rows), np.int64, len(rows)), times) * post["times"]
-        tag = np.concatenate([np.repeat(base[rows], times) + post["doc"], *[w["tag"] for w in whole]])
-        n = np.concatenate([n, *[w["n"] for w in whole]])
-        tags, inverse = np.unique(tag, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.bincount(inverse, n, len(tags)).astype(np.int64))], [TAG, "n"])
+        first = np.concatenate([np.repeat(base[rows], times), *[np.full(len(w), base[k]) for w, k in zip(whole, ends, strict=True)]])
+        held.append((first, np.concatenate([np.repeat(base[rows], times) + post["doc"], *[w["tag"] for w in whole]]), np.concatenate([n, *[w["n"] for w in whole]])))
+        size += len(first)
+        if size > SUMS:
+            held = [summed(held)]
+            size = len(held[0][0])
+            if 2 * size > SUMS:
+                yield packed(*held[0])
+                held, size = [], 0
+    if held:
+        yield packed(*summed(held))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, tag and sum of each tag, in order."""
+    first, tag, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    tags, at, inverse = np.unique(tag, return_index=True, return_inverse=True)
+    return first[at], tags, np.bincount(inverse, n, len(tags)).astype(np.int64)
+
+
+def packed(first: np.ndarray, tags: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each block: its sums by tag. The tags of a block lie together."""
+    sums = np.zeros(len(tags), PART)
+    sums["doc"], sums["n"] = tags - first, n
+    new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+    return pa.RecordBatch.from_arrays([pa.array(first[new]), binaries(np.frombuffer(sums.tobytes(), np.uint8), np.append(new, len(tags)) * PART.itemsize)], ["base", "sums"])
+
+
+def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tag, out of the sums of its block, which come one after the other."""
+    block, total, there = None, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def out() -> pa.RecordBatch:
+        docs = np.flatnonzero(there)
+        return pa.RecordBatch.from_arrays([pa.array(block + docs), pa.array(total[docs])], [TAG, "n_tokens"])
+
+    for batch in batches:
+        for base, sums in zip(batch.column("base").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            if base != block:
+                if block is not None:
+                    yield out()
+                block, total[:], there[:] = base, 0, False
+            part = np.frombuffer(sums, PART)  # a document once
+            total[part["doc"]] += part["n"]
+            there[part["doc"]] = True
+    if block is not None:
+        yield out()
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -234,7 +285,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     # a pre-token that many documents of a block have is counted in up to SALTS places, each with some of its blocks
     spread = F.when(F.col("piece").isNull(), F.col("base")).when(F.octet_length("postings") > LONG_POSTINGS, F.pmod(F.xxhash64("base"), F.lit(SALTS))).otherwise(0)
     dealt = posts.repartition(F.xxhash64("piece"), spread)
-    sums = dealt.mapInArrow(lambda it: _piece_sums(path, it), f"{TAG} long, n long").groupBy(TAG).agg(F.sum("n").alias("n_tokens"))
+    partial = dealt.mapInArrow(lambda it: _piece_sums(path, it), "base long, sums binary")
+    sums = partial.repartition("base").sortWithinPartitions("base").mapInArrow(_totals, f"{TAG} long, n_tokens long")
     sizes = rows.select(TAG, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     joined = sizes.join(sums, TAG, "left")
     n = F.coalesce("n_tokens", F.lit(0)).cast("long")

@@ -1,6 +1,9 @@
-"""Cases of the fourth round: the mix in its order."""
+"""Cases of the fourth round: the mix in its order, one sum a document."""
 
-from skywindow.llm import mixing
+import pyarrow as pa
+
+from skywindow.llm import mixing, token_counts
+from skywindow.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,3 +16,19 @@ def test_what_the_mix_takes_is_summed_over_its_copies_in_order(spark):
     rows = out.collect()
     assert len(rows) == len(texts) and all(list(r.positions) == sorted(r.positions) and (r.taken == 0) == (not r.positions) for r in rows)
     assert sum(len(r.positions) for r in rows) == mixing.mixed_order(table).count()
+
+
+def test_sums_leave_a_task_once_a_block(spark, monkeypatch):
+    """However often a document's pre-tokens pass by, its block's sums go out together."""
+    texts = [" ".join(f"q{k}z{j}w" for j in range(300)) for k in range(40)]
+    tags = pa.array(range(40), pa.int64())
+    path = tokenizer_path()
+    posts = pa.Table.from_batches(token_counts._postings(path, [pa.RecordBatch.from_arrays([tags, pa.array(texts)], [token_counts.TAG, "text"])]))
+    want = [len(token_counts.counter(path).tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    for most in (token_counts.SUMS, 1000, 10):
+        monkeypatch.setattr(token_counts, "SUMS", most)
+        parts = list(token_counts._piece_sums(path, posts.to_batches(max_chunksize=100)))
+        if most == token_counts.SUMS > 1000:
+            assert sum(p.num_rows for p in parts) == 1
+        total = pa.Table.from_batches(token_counts._totals(parts)).to_pydict()
+        assert total[token_counts.TAG] == list(range(40)) and total["n_tokens"] == want
